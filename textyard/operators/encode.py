@@ -1,0 +1,92 @@
+"""Batched inference of frozen text encoders."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from textyard.functions import text as tx
+from textyard.operators.contract import Model, Vectorizer
+
+BATCH_SIZE = 32
+MAX_LENGTH = 128
+
+MakeEncoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
+
+
+def hashed_encoder(dim: int = 768, max_length: int | None = MAX_LENGTH, seed: int = 42) -> MakeEncoder:
+    """A seeded stand-in for a transformer: no weights needed, same texts give same vectors.
+
+    The returned function is called once per Python worker; ``max_length`` tokens of a
+    text are used, all of them if None.
+    """
+
+    def make():
+        rows = 4_096
+        table = np.random.default_rng(seed).standard_normal((rows, dim), dtype=np.float32)
+
+        def encode(texts: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for i, text in enumerate(texts):
+                ids = [zlib.crc32(t.encode()) % rows for t in text.lower().split()[:max_length]]
+                if ids:
+                    ids, counts = np.unique(ids, return_counts=True)
+                    out[i] = np.tanh(counts.astype(np.float32) @ table[ids] / counts.sum())
+            return out
+
+        return encode
+
+    return make
+
+
+def encode_column(text: Column | str, make: MakeEncoder, batch_size: int = BATCH_SIZE) -> Column:
+    """First-token vectors of raw texts; the encoder is loaded once per Python worker."""
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return udf(tx.as_text(text))
+
+
+@dataclass
+class EncoderModel(Model):
+    name: str
+    make: MakeEncoder
+    batch_size: int
+    dim: int
+
+    def transform(self, corpus: DataFrame) -> DataFrame:
+        """Encodes ``text`` as it is: no cleaning."""
+        keep = [c for c in corpus.columns if c not in ("text", "tokens")]
+        return corpus.select(*keep, array_to_vector(encode_column("text", self.make, self.batch_size)).alias("features"))
+
+
+@dataclass
+class Encoder(Vectorizer):
+    """A frozen encoder chosen by short name; ``encoders`` maps names to makers.
+
+    Any other name is passed through to ``resolve``, which must return a maker.
+    """
+
+    model_name: str = "distilbert"
+    encoders: Mapping[str, MakeEncoder] = field(default_factory=dict)
+    resolve: Callable[[str, int], MakeEncoder] | None = None
+    batch_size: int = BATCH_SIZE
+    max_length: int = MAX_LENGTH
+
+    @property
+    def name(self) -> str:
+        return self.model_name
+
+    # Short names and the public checkpoints they stand for.
+    CHECKPOINTS = {"bert": "bert-base-uncased", "distilbert": "distilbert-base-uncased", "roberta": "roberta-base"}
+
+    def fit(self, corpus: DataFrame) -> EncoderModel:
+        make = self.encoders.get(self.model_name.lower())
+        if make is None and self.resolve is not None:
+            make = self.resolve(self.CHECKPOINTS.get(self.model_name.lower(), self.model_name), self.max_length)
+        if make is None:
+            raise ValueError(f"no encoder given for {self.model_name}")
+        return EncoderModel(self.name, make, self.batch_size, int(make()(np.array(["probe"])).shape[1]))

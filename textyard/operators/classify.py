@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from textyard.operators.prepare import class_counts
 from textyard.session import join_per_group
 
+ROWS_PER_TASK = 5_000
+
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """``(label, n, weight)`` with the balanced weight n / (classes * n_class)."""
@@ -18,7 +20,12 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 1_000
+    train: DataFrame,
+    label: str = "label",
+    features: str = "features",
+    c: float = 1.0,
+    max_iter: int = 1_000,
+    tol: float = 1e-4,
 ) -> LogisticRegressionModel:
     """Minimise ½|β|² + C · Σ weight · logloss, intercept free.
 
@@ -28,9 +35,13 @@ def fit_logistic(
     weights = class_weights(train, label).select(label, "weight")
     weighted = join_per_group(train.select(label, features), weights, [label], F.xxhash64(features))
     n = train.count()
+    tasks = -(-n // ROWS_PER_TASK)
+    if tasks < train.sparkSession.sparkContext.defaultParallelism:
+        # every iteration is a job: for few rows, starting its tasks would cost the most
+        weighted = weighted.repartition(tasks)
     lr = LogisticRegression(
         labelCol=label, featuresCol=features, weightCol="weight", maxIter=max_iter,
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=tol,
     )
     return lr.fit(weighted)
 

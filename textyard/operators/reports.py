@@ -32,7 +32,7 @@ def leaderboard(results: DataFrame) -> DataFrame:
     """Every expected method of every dataset in display order; a missing one is flagged."""
     joined = _expected(results).join(results, ["dataset", "vectorizer"], "left")
     return joined.select(
-        "dataset", "display_order", "vectorizer", "display_name", "family", "embedding_dim", "fit_time_s",
+        "dataset", "display_order", "vectorizer", "display_name", "family", F.col("embedding_dim").cast("double"), "fit_time_s",
         "transform_time_s", "accuracy", "f1_macro", "f1_weighted", F.col("accuracy").isNotNull().alias("available"),
     )
 

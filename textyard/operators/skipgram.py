@@ -1,0 +1,284 @@
+"""Skip-gram training with negative sampling, sharded so that no place holds the whole model.
+
+Documents are dealt to shards of bounded size. An epoch sends each shard only the parameter
+rows its own words use, trains there with numpy, and averages the rows that several shards
+changed. Parameters live in a frame that is checkpointed after every epoch.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+from textyard.session import cut_lineage
+
+SHARD_TOKENS = 200_000  # tokens of one training shard
+LEAST_TOKENS = 5_000  # a small corpus is not cut finer than this to use all cores
+CHUNK_TOKENS = 10_000  # longest run of tokens kept together; longer texts are trained in pieces
+BATCH = 512  # centre words per gradient step
+NEGATIVES = 5
+SHARED_NOISE = 64  # noise words drawn per step, shared by its centres
+CALM = 16.0
+ALPHA, MIN_ALPHA = 0.05, 0.0001
+SUBSAMPLE = 1e-3
+
+
+def start_rows(keys: list[str], dim: int, seed: int) -> np.ndarray:
+    """Starting vectors that depend on the key alone, so all shards begin alike."""
+    base = np.array([zlib.crc32(k.encode(), seed) for k in keys], dtype=np.uint64)
+    # The constants of the public splitmix64 generator.
+    with np.errstate(over="ignore"):
+        z = base[:, None] * np.uint64(0xD1342543DE82EF95) + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    unit = (z >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return ((2.0 * unit - 1.0) / dim).astype(np.float32)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -12, 12)))
+
+
+def _step(rows_in, rows_out, centres, contexts, noise, own, starts, lengths, rate):
+    """One gradient step over centre/context pairs, in place.
+
+    Centres and contexts repeat a lot, so each distinct word and pair is worked out once;
+    noise words are shared by the step.
+    """
+    c, c_of = np.unique(centres, return_inverse=True)
+    o, o_of = np.unique(contexts, return_inverse=True)
+    pair, times = np.unique(c_of * len(o) + o_of, return_counts=True)
+    size = lengths[c]
+    first = np.cumsum(size) - size
+    flat = own[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(starts[c], size)]
+    hidden = np.add.reduceat(rows_in[flat], first, axis=0) / size[:, None].astype(np.float32)
+
+    target = rows_out[o]
+    score = np.einsum("ij,ij->i", hidden[pair // len(o)], target[pair % len(o)])
+    push = np.zeros((len(c), len(o)), dtype=np.float32)
+    push.ravel()[pair] = times * (1.0 - _sigmoid(score))
+    uses_c = np.bincount(c_of, minlength=len(c)).astype(np.float32)
+    uses_o = np.bincount(o_of, minlength=len(o)).astype(np.float32)
+    share = NEGATIVES / len(noise)
+    away = rows_out[noise]
+    pull = _sigmoid(hidden @ away.T) * (uses_c * share)[:, None]
+
+    # a word met many times in one step moves by its mean gradient, at most CALM fold
+    gradient = (push @ target - pull @ away) * np.minimum(1.0, CALM / uses_c)[:, None]
+    rows_out[o] += rate * np.minimum(1.0, CALM / uses_o)[:, None] * (push.T @ hidden)
+    calm = np.float32(min(1.0, CALM / (len(centres) * share)))
+    np.subtract.at(rows_out, noise, rate * calm * (pull.T @ hidden))
+
+    order = np.argsort(flat, kind="stable")
+    touched, begin, uses = np.unique(flat[order], return_index=True, return_counts=True)
+    moved = np.add.reduceat(np.repeat(gradient, size, axis=0)[order], begin, axis=0)
+    rows_in[touched] += rate * moved * np.minimum(1.0, CALM / uses)[:, None].astype(np.float32)
+
+
+def _pairs(flat: np.ndarray, run_of: np.ndarray, reach: np.ndarray, begin: int, window: int) -> tuple:
+    """Centre and context words of the positions from ``begin``, each with its own reach."""
+    at = np.arange(begin, min(begin + BATCH, len(flat)))
+    left, right = [], []
+    for step in range(1, window + 1):
+        for shift in (-step, step):
+            other = at + shift
+            fits = (reach[at] >= step) & (other >= 0) & (other < len(flat))
+            a, b = at[fits], other[fits]
+            same = run_of[a] == run_of[b]
+            left.append(flat[a[same]])
+            right.append(flat[b[same]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _packed(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one binary value each: moved between JVM and Python as blocks."""
+    width = values.itemsize * values.shape[1]
+    ends = pa.py_buffer(np.arange(len(values) + 1, dtype=np.int32) * width)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A packed column as a matrix (missing rows zero) and which rows were missing."""
+    missing = column.is_null().to_numpy()
+    out = np.zeros((len(column), dim), dtype=np.float32)
+    out[~missing] = np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=np.float32).reshape(-1, dim)
+    return out, missing
+
+
+def _params(kind, key, values: np.ndarray) -> pa.Table:
+    return pa.table({"kind": kind, "key": key, "vector": _packed(values.astype(np.float32))})
+
+
+def _pack_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = [g if g is None else np.array(g, dtype=np.int32).tobytes() for g in batch["grams"].to_pylist()]
+        at = batch.schema.get_field_index("grams")
+        yield batch.set_column(at, "grams", pa.array(grams, pa.binary()))
+
+
+def _unpack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            values = np.frombuffer(b"".join(batch["vector"].to_pylist()), dtype=np.float32)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (len(values) // batch.num_rows)
+            vector = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield batch.set_column(batch.schema.get_field_index("vector"), "vector", vector)
+
+
+def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: int, rate: tuple, seed: int) -> pa.Table:
+    """One pass over a shard's token runs; returns the shard's changed rows.
+
+    ``rows`` lists the shard's parameters: kind i (a word's own input), b (a bucket), o (a
+    word's output); word rows carry the corpus frequency and the word's buckets.
+    """
+    rows = rows.sort_by([("kind", "ascending"), ("key", "ascending")])
+    kind = np.array(rows["kind"].to_pylist())
+    values, fresh = _matrix(rows["vector"], dim)
+    new_in = fresh & (kind != "o")  # output rows start at zero
+    keys = rows["key"].to_pylist()
+    if new_in.any():
+        values[new_in] = start_rows([f"{kind[i]}:{keys[i]}" for i in np.flatnonzero(new_in)], dim, seed)
+
+    own_at = np.flatnonzero(kind == "i")
+    words = rows.filter(pc.equal(rows["kind"], "i"))
+    number = pa.concat_arrays(words["key"].chunks)
+    grams = words["grams"].to_pylist()
+    lengths = np.array([1 + len(g) // 4 for g in grams], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    own = np.empty(lengths.sum(), dtype=np.int64)
+    own[starts] = own_at
+    rest = np.ones(len(own), dtype=bool)
+    rest[starts] = False
+    if rest.any():
+        bucket_at = np.flatnonzero(kind == "b")
+        place = pd.Index(np.array([int(keys[i]) for i in bucket_at])).get_indexer(np.frombuffer(b"".join(grams), dtype=np.int32))
+        own[rest] = bucket_at[place]
+    out_at = np.flatnonzero(kind == "o")
+    out = values[out_at]  # same order as the words: both are sorted by key
+    tf = words["tf"].to_numpy().astype(np.float64)
+    noise_upto = np.cumsum(tf**0.75)
+    noise_upto /= noise_upto[-1]
+    frequency = tf / known
+    keep_share = np.minimum(1.0, np.sqrt(SUBSAMPLE / frequency) + SUBSAMPLE / frequency)
+
+    rng = np.random.default_rng(seed)
+    docs = docs.sort_by([("_row", "ascending"), ("_part", "ascending")])
+    runs = pa.concat_arrays(docs["tokens"].chunks)
+    flat = pc.index_in(runs.flatten(), value_set=number)
+    run_of = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
+    kept = flat.is_valid().to_numpy(zero_copy_only=False)
+    flat, run_of = flat.drop_null().to_numpy(), run_of[kept]
+    kept = rng.random(len(flat)) < keep_share[flat]
+    flat, run_of = flat[kept].astype(np.int64), run_of[kept]
+    reach = rng.integers(1, window + 1, len(flat))
+    for begin in range(0, len(flat), BATCH):
+        centres, contexts = _pairs(flat, run_of, reach, begin, window)
+        if len(centres):
+            noise = np.searchsorted(noise_upto, rng.random(SHARED_NOISE))
+            now = rate[0] + (rate[1] - rate[0]) * begin / len(flat)
+            _step(values, out, centres, contexts, noise, own, starts, lengths, np.float32(now))
+    values[out_at] = out
+    return _params(rows["kind"], rows["key"], values)
+
+
+def _average(dim: int):
+    """Mean of the rows of equal (kind, key); a partition holds all rows of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        name = pc.binary_join_element_wise(table["kind"], table["key"], ":")
+        code = pa.concat_arrays(name.chunks).dictionary_encode().indices.to_numpy()
+        values, _ = _matrix(table["vector"], dim)
+        # vectors of one key are added in a fixed order, so reruns agree to the last bit
+        order = np.lexsort((values[:, 1 % dim], values[:, 0], code))
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        mean = np.add.reduceat(values[order], first, axis=0, dtype=np.float64)
+        mean /= np.diff(np.append(first, len(order)))[:, None]
+        head = pa.array(order[first])
+        yield from _params(table["kind"].take(head), table["key"].take(head), mean).combine_chunks().to_batches()
+
+    return run
+
+
+@dataclass
+class Trainer:
+    """Trains input vectors for words ``(word, tf, grams)``; ``grams`` lists bucket numbers, maybe none."""
+
+    dim: int
+    window: int
+    epochs: int
+    seed: int
+    shards: int | None = None
+
+    def fit(self, corpus: DataFrame, vocabulary: DataFrame, total: int, known: int) -> DataFrame:
+        """``corpus`` is ``(_row, tokens)`` with ``total`` tokens, ``known`` of them in the vocabulary.
+
+        Returns ``(kind, key, vector)``: kind i is a word's own row, b a bucket's.
+        """
+        cores = corpus.sparkSession.sparkContext.defaultParallelism
+        shards = self.shards or max(-(-total // SHARD_TOKENS), min(cores, -(-total // LEAST_TOKENS)), 1)
+        docs = cut_lineage(self._runs(corpus, shards))
+        rows = cut_lineage(self._shard_rows(docs, vocabulary))
+        params = None
+        for epoch in range(self.epochs):
+            params = cut_lineage(self._epoch(docs, rows, params, epoch, known, shards))
+        schema = "kind string, key string, vector array<float>"
+        return params.filter(F.col("kind") != "o").mapInArrow(_unpack_vectors, schema)
+
+    def _runs(self, corpus: DataFrame, shards: int) -> DataFrame:
+        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("tokens") / CHUNK_TOKENS) - 1, F.lit(0)).cast("int"))
+        runs = corpus.filter(F.size("tokens") > 0).select("_row", "tokens", F.explode(parts).alias("_part"))
+        shard = F.pmod(F.xxhash64("_row", "_part"), F.lit(shards)).cast("int").alias("shard")
+        tokens = F.slice("tokens", F.col("_part") * CHUNK_TOKENS + 1, F.lit(CHUNK_TOKENS)).alias("tokens")
+        return runs.select(shard, "_row", "_part", tokens)
+
+    def _shard_rows(self, docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """Which parameter rows each shard uses: ``(shard, kind, key, tf, grams)``."""
+        words = docs.select("shard", F.explode("tokens").alias("word")).distinct()
+        used = words.join(vocabulary, "word")
+        own = F.explode(F.array(F.lit("i"), F.lit("o"))).alias("kind")
+        buckets = used.select("shard", F.explode("grams").alias("key")).distinct()
+        listed = used.select("shard", own, F.col("word").alias("key"), "tf", "grams")
+        packed = listed.mapInArrow(_pack_grams, "shard int, kind string, key string, tf bigint, grams binary")
+        return packed.unionByName(
+            buckets.select("shard", F.lit("b").alias("kind"), F.col("key").cast("string").alias("key")),
+            allowMissingColumns=True,
+        )
+
+    def _epoch(self, docs: DataFrame, rows: DataFrame, params: DataFrame | None, epoch: int, known: int, shards: int) -> DataFrame:
+        dim, window, seed = self.dim, self.window, self.seed
+        slope = (MIN_ALPHA - ALPHA) / self.epochs
+        rate = (ALPHA + slope * epoch, ALPHA + slope * (epoch + 1))
+        if params is None:
+            rows = rows.withColumn("vector", F.lit(None).cast("binary"))
+        else:
+            rows = rows.join(params, ["kind", "key"], "left")
+        # Shard n becomes partition n: hashing the few shard numbers would put several into one task.
+        both = docs.withColumn("kind", F.lit("d")).unionByName(rows, allowMissingColumns=True)
+        dealt = both.repartitionById(shards, F.col("shard"))
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts)
+            is_doc = pc.equal(table["kind"], "d")
+            docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
+            if docs.num_rows and rows.num_rows:
+                shard = docs["shard"][0].as_py()
+                out = _train_shard(docs, rows, dim, window, known, rate, seed + 1_000 * epoch + shard)
+                yield from out.combine_chunks().to_batches()
+
+        schema = "kind string, key string, vector binary"
+        return dealt.mapInArrow(train, schema).repartition("kind", "key").mapInArrow(_average(dim), schema)

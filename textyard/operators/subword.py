@@ -1,43 +1,29 @@
-"""Subword vectors: character n-grams hashed to buckets, trained by sharded skip-gram.
-
-The trainer never holds the whole model anywhere. Documents are dealt to shards of
-bounded size; an epoch sends each shard only the rows its own words use, trains there, and
-averages the rows that several shards changed. Parameters live in a checkpointed frame.
-"""
+"""Subword vectors: character n-grams of a word hashed to buckets, so unseen words have a vector too."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textyard.functions import text as tx
 from textyard.functions.hashing import BUCKET_FUNCTIONS
 from textyard.operators.contract import Model, Vectorizer
-from textyard.operators.pooling import mean_pool, table_bytes
+from textyard.operators.pooling import mean_pool
+from textyard.operators.skipgram import Trainer
 from textyard.operators.wordvec import word_counts
-from textyard.session import cut_lineage, lookup_join
+from textyard.session import cut_lineage
 from textyard.sources.tables import with_tokens
 
 SEED = 42
 BUCKETS = 2**15
-SHARD_TOKENS = 200_000  # tokens of one training shard
-CHUNK_TOKENS = 10_000  # longest run of tokens kept together; longer texts are trained in pieces
-BATCH = 1_024  # centre words per gradient step
-NEGATIVES = 5
-SHARED_NOISE = 64  # noise words drawn per step, shared by its centres
-ALPHA, MIN_ALPHA = 0.05, 0.0001
-SUBSAMPLE = 1e-3
 
 
-def word_grams(words: DataFrame, buckets: int, low: int = 3, high: int = 6, hashing: str = "md5") -> DataFrame:
-    """``(word, bucket)`` of every character n-gram of each word; repeats are kept."""
-    grams = words.select("word", F.explode(tx.char_ngrams("word", low, high)).alias("gram"))
-    return grams.select("word", BUCKET_FUNCTIONS[hashing](F.col("gram"), buckets).alias("bucket"))
+def gram_buckets(word: str, buckets: int, low: int = 3, high: int = 6, hashing: str = "md5") -> Column:
+    """Bucket number of every character n-gram of a word; repeats are kept."""
+    bucket = BUCKET_FUNCTIONS[hashing]
+    return F.transform(tx.char_ngrams(word, low, high), lambda g: bucket(g, buckets))
 
 
 def subword_vectors(
@@ -46,133 +32,24 @@ def subword_vectors(
     n_buckets: int,
     dim: int,
     known: DataFrame | None = None,
+    n_known: int = 0,
     low: int = 3,
     high: int = 6,
     hashing: str = "md5",
 ) -> DataFrame:
     """``(word, vector)`` of distinct ``words``, unseen ones included.
 
-    A word is the mean of its n-grams' bucket vectors and, if it is in ``known``
-    ``(word, vector)``, of its own vector.
+    A word is the mean of its n-grams' bucket vectors ``(bucket, vector)`` and, if it is in
+    ``known`` ``(word, vector)``, of its own vector. That is mean pooling over the parts of a
+    word instead of the words of a document.
     """
-    grams = word_grams(words, n_buckets, low, high, hashing)
-    table = buckets.select("bucket", array_to_vector("vector").alias("_v"))
-    parts = lookup_join(grams, table, "bucket", F.col("word"), table_bytes(n_buckets, dim)).select("word", "_v")
+    parts = F.transform(gram_buckets("word", n_buckets, low, high, hashing), lambda b: F.concat(F.lit("b"), b))
+    parts = F.concat(parts, F.array(F.concat(F.lit("w"), "word")))
+    table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), F.col("vector").cast("array<double>").alias("vector"))
     if known is not None:
-        own = known.join(words, "word", "left_semi")
-        parts = parts.unionByName(own.select("word", array_to_vector("vector").alias("_v")))
-    means = parts.groupBy("word").agg(Summarizer.mean(F.col("_v")).alias("_m"))
-    return means.select("word", vector_to_array("_m").alias("vector"))
-
-
-def _start_rows(keys: list[str], dim: int, seed: int) -> np.ndarray:
-    """Starting vectors that depend on the key alone, so all shards begin alike."""
-    out = np.empty((len(keys), dim), dtype=np.float32)
-    for i, key in enumerate(keys):
-        raw = np.frombuffer(key.encode(), dtype=np.uint8)
-        out[i] = np.random.default_rng([seed, *raw.tolist()]).uniform(-1.0 / dim, 1.0 / dim, dim)
-    return out
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -12, 12)))
-
-
-def _step(rows_in, rows_out, centres, contexts, noise, own, starts, lengths, rate):
-    """One gradient step over centre/context pairs, in place.
-
-    Centres and contexts repeat a lot, so the step works on their distinct words and the
-    matrix of pair counts between them; noise words are shared by the step.
-    """
-    c, c_of = np.unique(centres, return_inverse=True)
-    o, o_of = np.unique(contexts, return_inverse=True)
-    pairs = np.bincount(c_of * len(o) + o_of, minlength=len(c) * len(o)).reshape(len(c), len(o)).astype(np.float32)
-    size = lengths[c]
-    first = np.cumsum(size) - size
-    flat = own[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(starts[c], size)]
-    hidden = np.add.reduceat(rows_in[flat], first, axis=0) / size[:, None]
-
-    target = rows_out[o]
-    push = pairs * (1.0 - _sigmoid(hidden @ target.T))
-    away = rows_out[noise]
-    pull = _sigmoid(hidden @ away.T) * (pairs.sum(axis=1) * NEGATIVES / len(noise))[:, None]
-    # a word met many times in one step moves by its mean gradient, at most 16 fold
-    calm_c = np.minimum(1.0, 16.0 / pairs.sum(axis=1))[:, None].astype(np.float32)
-    calm_o = np.minimum(1.0, 16.0 / pairs.sum(axis=0))[:, None].astype(np.float32)
-    gradient = (push @ target - pull @ away) * calm_c
-    rows_out[o] += rate * calm_o * (push.T @ hidden)
-    noise_rows, noise_of = np.unique(noise, return_inverse=True)
-    change = np.zeros((len(noise_rows), rows_out.shape[1]), dtype=np.float32)
-    np.add.at(change, noise_of, pull.T @ hidden)
-    weight = np.minimum(1.0, 16.0 / np.maximum(pairs.sum() * NEGATIVES / len(noise), 1e-9))
-    rows_out[noise_rows] -= rate * weight * change
-
-    order = np.argsort(flat, kind="stable")
-    touched, begin, uses = np.unique(flat[order], return_index=True, return_counts=True)
-    moved = np.add.reduceat(np.repeat(gradient, size, axis=0)[order], begin, axis=0)
-    rows_in[touched] += rate * moved * np.minimum(1.0, 4.0 / uses)[:, None].astype(np.float32)
-
-
-def _train_shard(docs: pd.DataFrame, rows: pd.DataFrame, dim: int, window: int, total: int, rate: tuple, seed: int):
-    """One pass over a shard's token runs; returns the shard's changed rows.
-
-    ``rows`` lists the shard's parameters: kind i (a word's own input), b (a bucket), o (a
-    word's output); word rows carry the corpus frequency and the word's buckets.
-    """
-    rows = rows.sort_values(["kind", "key"], kind="stable").reset_index(drop=True)
-    fresh = rows["vector"].isna().to_numpy()
-    values = np.zeros((len(rows), dim), dtype=np.float32)
-    if (~fresh).any():
-        values[~fresh] = np.array(rows["vector"][~fresh].tolist(), dtype=np.float32)
-    kind = rows["kind"].to_numpy()
-    new_in = fresh & (kind != "o")  # output rows start at zero
-    values[new_in] = _start_rows((rows["kind"] + ":" + rows["key"])[new_in].tolist(), dim, seed)
-
-    words = rows[kind == "i"]
-    number = pd.Index(words["key"])
-    bucket_at = pd.Series(np.flatnonzero(kind == "b") , index=rows["key"][kind == "b"])
-    own_at = np.flatnonzero(kind == "i")
-    grams = words["grams"].tolist()
-    lengths = np.array([1 + len(g) for g in grams], dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
-    own = np.empty(lengths.sum(), dtype=np.int64)
-    own[starts] = own_at
-    rest = np.ones(len(own), dtype=bool)
-    rest[starts] = False
-    own[rest] = bucket_at.loc[[str(b) for g in grams for b in g]].to_numpy()
-    out = values[kind == "o"]  # same order as the words: both are sorted by key
-    tf = words["tf"].to_numpy(dtype=np.float64)
-    noise_share = tf**0.75 / (tf**0.75).sum()
-    frequency = tf / total
-    keep_share = np.minimum(1.0, np.sqrt(SUBSAMPLE / frequency) + SUBSAMPLE / frequency)
-
-    rng = np.random.default_rng(seed)
-    docs = docs.sort_values(["_row", "_part"], kind="stable")
-    runs = [number.get_indexer(pd.Index(t)) for t in docs["tokens"]]
-    flat = np.concatenate(runs)
-    run_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-    kept = flat >= 0
-    kept[kept] = rng.random(kept.sum()) < keep_share[flat[kept]]
-    flat, run_of = flat[kept], run_of[kept]
-    reach = rng.integers(1, window + 1, len(flat))
-    for begin in range(0, len(flat), BATCH):
-        at = np.arange(begin, min(begin + BATCH, len(flat)))
-        left, right = [], []
-        for step in range(1, window + 1):
-            for shift in (-step, step):
-                other = at + shift
-                fits = (reach[at] >= step) & (other >= 0) & (other < len(flat))
-                a, b = at[fits], other[fits]
-                same = run_of[a] == run_of[b]
-                left.append(flat[a[same]])
-                right.append(flat[b[same]])
-        centres, contexts = np.concatenate(left), np.concatenate(right)
-        if len(centres):
-            noise = rng.choice(len(tf), SHARED_NOISE, p=noise_share)
-            now = rate[0] + (rate[1] - rate[0]) * begin / len(flat)
-            _step(values, out, centres, contexts, noise, own, starts, lengths, np.float32(now))
-    values[kind == "o"] = out
-    return pd.DataFrame({"kind": rows["kind"], "key": rows["key"], "vector": list(values)})
+        own = F.col("vector").cast("array<double>").alias("vector")
+        table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), own))
+    return mean_pool(words.select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word")
 
 
 @dataclass
@@ -191,7 +68,7 @@ class SubwordModel(Model):
 
     def word_vectors(self, words: DataFrame) -> DataFrame:
         return subword_vectors(
-            words, self.buckets, self.n_buckets, self.dim, self.words, self.low, self.high, self.hashing
+            words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words, self.low, self.high, self.hashing
         )
 
     def pool(self, corpus: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -207,7 +84,7 @@ class SubwordModel(Model):
 
 @dataclass
 class SubwordSkipGram(Vectorizer):
-    """Skip-gram with negative sampling where a word is the mean of its own and its n-grams' rows."""
+    """Skip-gram where a word is the mean of its own row and its n-grams' rows."""
 
     vector_size: int = 100
     window: int = 5
@@ -223,70 +100,17 @@ class SubwordSkipGram(Vectorizer):
 
     def fit(self, corpus: DataFrame, row_id: str = "doc_id") -> SubwordModel:
         corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
-        spark = corpus.sparkSession
         total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        cores = spark.sparkContext.defaultParallelism
-        shards = self.shards or max(-(-total // SHARD_TOKENS), min(cores, -(-total // 5_000)), 1)
-
-        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("tokens") / CHUNK_TOKENS) - 1, F.lit(0)).cast("int"))
-        runs = corpus.filter(F.size("tokens") > 0).select("_row", "tokens", F.explode(parts).alias("_part"))
-        shard = F.pmod(F.xxhash64("_row", "_part"), F.lit(shards)).cast("int").alias("shard")
-        tokens = F.slice("tokens", F.col("_part") * CHUNK_TOKENS + 1, F.lit(CHUNK_TOKENS)).alias("tokens")
-        docs = cut_lineage(runs.select(shard, "_row", "_part", tokens).repartition(shards, "shard"))
-
-        vocabulary = cut_lineage(self._vocabulary(corpus))
+        grams = gram_buckets("word", self.buckets, self.min_n, self.max_n, self.hashing)
+        vocabulary = cut_lineage(word_counts(corpus, self.min_count).select("word", "tf", grams.alias("grams")))
         n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
-        rows = cut_lineage(self._shard_rows(docs, vocabulary))
-        if not n_words:
-            empty = "vector array<double>"
-            return self._model(spark.createDataFrame([], f"word string, {empty}"), spark.createDataFrame([], f"bucket bigint, {empty}"), 0)
-
-        params = None
-        for epoch in range(self.epochs):
-            params = cut_lineage(self._epoch(docs, rows, params, epoch, known))
+        if n_words:
+            trainer = Trainer(self.vector_size, self.window, self.epochs, self.seed, self.shards)
+            params = trainer.fit(corpus, vocabulary, total, known)
+        else:
+            params = corpus.sparkSession.createDataFrame([], "kind string, key string, vector array<double>")
         words = params.filter(F.col("kind") == "i").select(F.col("key").alias("word"), "vector")
         table = params.filter(F.col("kind") == "b").select(F.col("key").cast("bigint").alias("bucket"), "vector")
-        return self._model(words, table, n_words)
-
-    def _model(self, words: DataFrame, table: DataFrame, n_words: int) -> SubwordModel:
         return SubwordModel(
             self.name, words, table, n_words, self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing
         )
-
-    def _vocabulary(self, corpus: DataFrame) -> DataFrame:
-        words = word_counts(corpus, self.min_count)
-        bucket = BUCKET_FUNCTIONS[self.hashing]
-        grams = F.transform(tx.char_ngrams("word", self.min_n, self.max_n), lambda g: bucket(g, self.buckets))
-        return words.select("word", "tf", grams.alias("grams"))
-
-    def _shard_rows(self, docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-        """Which parameter rows each shard uses: ``(shard, kind, key, tf, grams)``."""
-        used = docs.select("shard", F.explode("tokens").alias("word")).distinct().join(vocabulary, "word")
-        words = used.select(
-            "shard", F.explode(F.array(F.lit("i"), F.lit("o"))).alias("kind"), F.col("word").alias("key"), "tf", "grams"
-        )
-        buckets = used.select("shard", F.explode("grams").alias("key")).distinct()
-        return words.unionByName(
-            buckets.select("shard", F.lit("b").alias("kind"), F.col("key").cast("string").alias("key")),
-            allowMissingColumns=True,
-        )
-
-    def _epoch(self, docs: DataFrame, rows: DataFrame, params: DataFrame | None, epoch: int, total: int) -> DataFrame:
-        dim, window, seed = self.vector_size, self.window, self.seed
-        slope = (MIN_ALPHA - ALPHA) / self.epochs
-        rate = (ALPHA + slope * epoch, ALPHA + slope * (epoch + 1))
-        if params is None:
-            rows = rows.withColumn("vector", F.lit(None).cast("array<double>"))
-        else:
-            rows = rows.join(params, ["kind", "key"], "left")
-
-        def train(key, docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            if docs.empty or rows.empty:
-                return pd.DataFrame({"kind": [], "key": [], "vector": []})
-            return _train_shard(docs, rows, dim, window, total, rate, seed + 1_000 * epoch + int(key[0]))
-
-        moved = docs.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(
-            train, "kind string, key string, vector array<double>"
-        )
-        mean = Summarizer.mean(array_to_vector("vector"))
-        return moved.groupBy("kind", "key").agg(mean.alias("_m")).select("kind", "key", vector_to_array("_m").alias("vector"))

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
+from textyard.operators.skipgram import Trainer
 from textyard.session import cut_lineage
 from textyard.sources.tables import with_tokens
 from textyard.sources.vectors import dedupe_last, read_vector_text
 
 SEED = 42
-# Training tasks of Word2Vec: each works on its own copy, so more tasks need more passes.
-TRAIN_TOKENS_PER_TASK = 200_000
 
 
 def word_counts(corpus: DataFrame, min_count: int = 2) -> DataFrame:
@@ -46,35 +44,32 @@ class WordVectorModel(Model):
 
 @dataclass
 class SkipGram(Vectorizer):
-    """Skip-gram word vectors trained on the corpus."""
+    """Skip-gram word vectors with negative sampling, trained on the corpus.
+
+    MLlib's Word2Vec keeps all vectors on the driver and in every task; the sharded
+    trainer does not, so the vocabulary may grow with the data.
+    """
 
     vector_size: int = 100
     window: int = 5
     min_count: int = 2
     epochs: int = 10
     seed: int = SEED
-    tasks: int | None = None
+    shards: int | None = None
     name: str = "word2vec"
 
-    def fit(self, corpus: DataFrame) -> WordVectorModel:
-        corpus = with_tokens(corpus)
-        spark = corpus.sparkSession
-        size = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        frequent = word_counts(corpus, self.min_count).limit(1).count()
-        if not frequent:
-            # the trainer refuses an empty vocabulary; every document is then the zero vector
-            empty = spark.createDataFrame([], "word string, vector array<double>")
+    def fit(self, corpus: DataFrame, row_id: str = "doc_id") -> WordVectorModel:
+        corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
+        total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        no_grams = F.array().cast("array<bigint>").alias("grams")
+        vocabulary = cut_lineage(word_counts(corpus, self.min_count).select("word", "tf", no_grams))
+        n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
+        if not n_words:
+            empty = corpus.sparkSession.createDataFrame([], "word string, vector array<double>")
             return WordVectorModel(self.name, empty, self.vector_size, 0)
-        tasks = self.tasks or max(1, min(spark.sparkContext.defaultParallelism, size // TRAIN_TOKENS_PER_TASK))
-        trainer = Word2Vec(
-            vectorSize=self.vector_size, windowSize=self.window, minCount=self.min_count, maxIter=self.epochs,
-            numPartitions=tasks, seed=self.seed, inputCol="tokens", outputCol="_unused",
-        )
-        # The model's own transform divides by all tokens, unknown ones included, so only
-        # its vectors are used.
-        table = trainer.fit(corpus.select("tokens")).getVectors()
-        vectors = table.select("word", vector_to_array("vector").alias("vector"))
-        return WordVectorModel(self.name, vectors, self.vector_size, vectors.count())
+        trainer = Trainer(self.vector_size, self.window, self.epochs, self.seed, self.shards)
+        params = trainer.fit(corpus, vocabulary, total, known)
+        return WordVectorModel(self.name, params.select(F.col("key").alias("word"), "vector"), self.vector_size, n_words)
 
 
 @dataclass

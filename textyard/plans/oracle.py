@@ -19,6 +19,11 @@ def _int(text: str, digits: int = 15) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
 
 
+def _rounded(value: str, digits: int = 4) -> str:
+    """Rounded, with minus zero as zero."""
+    return f"CASE WHEN round({value}, {digits}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({value}, {digits}) END"
+
+
 def _tokens(source: str = "documents", name: str = "toks") -> str:
     """The cleaner step by step."""
     return rf"""
@@ -207,19 +212,18 @@ SELECT word, doc_id, cnt FROM counts WHERE word NOT IN (SELECT word FROM known)"
 width AS (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i),
 pooled AS (SELECT doc_id, i, sum(cnt * CAST(vector[i] AS DOUBLE)) / sum(cnt) AS v
   FROM counts JOIN known USING (word), width GROUP BY doc_id, i)
-SELECT d.doc_id, i - 1 AS dim, round(coalesce(v, 0), 4) AS value
+SELECT d.doc_id, i - 1 AS dim, {_rounded('coalesce(v, 0)')} AS value
 FROM documents d CROSS JOIN width LEFT JOIN pooled USING (doc_id, i)""",
         "subword_vectors": f"""WITH {toks}, {WORDS}, {KNOWN},
 marked AS (SELECT DISTINCT word, '<' || word || '>' AS m FROM words),
 pieces AS (SELECT word, unnest(flatten([{char_grams}])) AS gram FROM marked),
-parts AS (SELECT p.word, e.embedding AS vector FROM pieces p JOIN embeddings e
-    ON e.vec_id = {_int('p.gram')} % (SELECT count(*) FROM embeddings)
-  UNION ALL SELECT word, vector FROM known),
-cells AS (SELECT word, i, avg(CAST(vector[i] AS DOUBLE)) AS v FROM parts,
-  (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i) GROUP BY word, i)
-SELECT word, round(max(v) FILTER (i = 1), 4) AS first,
-  round(max(v) FILTER (i = (SELECT max(len(embedding)) FROM embeddings)), 4) AS last,
-  round(sum(v), 4) AS total, round(sum(v * v), 4) AS squares FROM cells GROUP BY word""",
+sums AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[-1] AS DOUBLE) AS z,
+  list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS t,
+  list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)) AS r FROM embeddings),
+parts AS (SELECT word, {_int('gram')} % (SELECT count(*) FROM embeddings) AS vec_id FROM pieces
+  UNION ALL SELECT word, vec_id FROM known)
+SELECT word, {_rounded('avg(a)')} AS first, {_rounded('avg(z)')} AS last, {_rounded('avg(t)')} AS total,
+  {_rounded('avg(r)')} AS ramp FROM parts JOIN sums USING (vec_id) GROUP BY word""",
         "lr_score": f"""WITH {LABELLED}, {_tokens('docs')}, {GRAMS}, {_vocabulary(2)},
 counts AS (SELECT doc_id, idx, count(*) AS cnt FROM terms JOIN vocab USING (term) GROUP BY doc_id, idx),
 sizes AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM docs),
@@ -248,7 +252,7 @@ SELECT * REPLACE (CASE WHEN vectorizer IN ('bow', 'tfidf') THEN classifier_train
 FROM results""",
         "leaderboard": f"""{results}, expected(vectorizer, display_name, family, display_order) AS (VALUES {order}),
 datasets AS (SELECT DISTINCT dataset FROM results)
-SELECT d.dataset, e.display_order, e.vectorizer, e.display_name, e.family, r.embedding_dim, r.fit_time_s,
+SELECT d.dataset, e.display_order, e.vectorizer, e.display_name, e.family, CAST(r.embedding_dim AS DOUBLE) AS embedding_dim, r.fit_time_s,
   r.transform_time_s, r.accuracy, r.f1_macro, r.f1_weighted, r.accuracy IS NOT NULL AS available
 FROM datasets d CROSS JOIN expected e LEFT JOIN results r ON r.dataset = d.dataset AND r.vectorizer = e.vectorizer""",
         "tradeoff": f"""{results}

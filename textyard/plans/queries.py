@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textyard.functions import text as tx
 from textyard.functions.hashing import md5_bucket, md5_int
 from textyard.operators import classify, encode, metrics, pooling, prepare, project, reports, sampling, subword, terms, wordvec
+from textyard.operators.contract import Model, Vectorizer
 from textyard.plans import benchmark
 from textyard.session import cut_lineage
 from textyard.sources import results as res, reviews, vectors
@@ -319,16 +320,26 @@ def mean_pool(spark, folder):
     return pooling.long_form(model.pool(docs))
 
 
+_FITTED: dict[tuple, Model] = {}
+
+
+def fitted(spark: SparkSession, folder: str, vectorizer: Vectorizer) -> Model:
+    """A model trained on all documents; the vector and the document query share it."""
+    key = (spark.sparkContext.applicationId, folder, vectorizer.name)
+    if key not in _FITTED:
+        _FITTED[key] = vectorizer.fit(token_frame(spark, folder))
+    return _FITTED[key]
+
+
 @query
 def word2vec_vectors(spark, folder):
-    model = wordvec.SkipGram().fit(token_frame(spark, folder))
+    model = fitted(spark, folder, wordvec.SkipGram())
     return model.vectors.select("word", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
 
 
 @query
 def word2vec_docs(spark, folder):
-    docs = token_frame(spark, folder)
-    pooled = wordvec.SkipGram().fit(docs).pool(docs)
+    pooled = fitted(spark, folder, wordvec.SkipGram()).pool(token_frame(spark, folder))
     return pooled.select("doc_id", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
 
 
@@ -338,25 +349,24 @@ def subword_vectors(spark, folder):
     known, n, dim = word_table(spark, folder, docs)
     emb = table(spark, folder, "embeddings").select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vector"))
     words = docs.select(F.explode("tokens").alias("word")).distinct()
-    built = subword.subword_vectors(words, emb, emb.count(), dim, known.select("word", "vector"))
+    built = subword.subword_vectors(words, emb, emb.count(), dim, known.select("word", "vector"), n)
     v = F.col("vector")
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    ramp = F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.size(v)), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
     return built.select(
         "word", F.round(v[0], 4).alias("first"), F.round(F.element_at(v, -1), 4).alias("last"),
-        F.round(total, 4).alias("total"), F.round(_squares("vector"), 4).alias("squares"),
+        F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(ramp, 4).alias("ramp"),
     )
 
 
 @query
 def fasttext_vectors(spark, folder):
-    model = subword.SubwordSkipGram().fit(token_frame(spark, folder))
+    model = fitted(spark, folder, subword.SubwordSkipGram())
     return model.words.select("word", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
 
 
 @query
 def fasttext_docs(spark, folder):
-    docs = token_frame(spark, folder)
-    pooled = subword.SubwordSkipGram().fit(docs).pool(docs)
+    pooled = fitted(spark, folder, subword.SubwordSkipGram()).pool(token_frame(spark, folder))
     return pooled.select("doc_id", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
 
 

@@ -44,7 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application.
+
+    Workers run side by side on all cores, so each gets one thread for linear algebra
+    unless the session says otherwise (spark.executorEnv.*).
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -57,6 +61,8 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     bundle.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(target)
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        sc.environment.setdefault(name, "1")
     _SHIPPED.add(sc.applicationId)
 
 

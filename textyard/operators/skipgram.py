@@ -1,8 +1,8 @@
 """Skip-gram training with negative sampling, sharded so that no place holds the whole model.
 
-Documents are dealt to shards of bounded size. An epoch sends each shard only the parameter
+Documents are dealt to shards of bounded size. A round sends each shard only the parameter
 rows its own words use, trains there with numpy, and averages the rows that several shards
-changed. Parameters live in a frame that is checkpointed after every epoch.
+changed. Parameters live in a frame that is checkpointed after every round.
 """
 
 from __future__ import annotations
@@ -30,6 +30,15 @@ ALPHA, MIN_ALPHA = 0.05, 0.0001
 SUBSAMPLE = 1e-3
 
 
+def round_lengths(epochs: int) -> list[int]:
+    """Passes between two averagings: one at first, while the shards find a common
+    direction, then up to three, since sharing the rows costs more than a pass."""
+    out = []
+    while sum(out) < epochs:
+        out.append(min((1, 1, 2)[len(out)] if len(out) < 3 else 3, epochs - sum(out)))
+    return out
+
+
 def start_rows(keys: list[str], dim: int, seed: int) -> np.ndarray:
     """Starting vectors that depend on the key alone, so all shards begin alike."""
     base = np.array([zlib.crc32(k.encode(), seed) for k in keys], dtype=np.uint64)
@@ -57,9 +66,14 @@ def _step(rows_in, rows_out, centres, contexts, noise, own, starts, lengths, rat
     o, o_of = np.unique(contexts, return_inverse=True)
     pair, times = np.unique(c_of * len(o) + o_of, return_counts=True)
     size = lengths[c]
-    first = np.cumsum(size) - size
-    flat = own[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(starts[c], size)]
-    hidden = np.add.reduceat(rows_in[flat], first, axis=0) / size[:, None].astype(np.float32)
+    whole = size.max() == 1  # words without n-grams have one row each
+    if whole:
+        flat = own[starts[c]]
+        hidden = rows_in[flat]
+    else:
+        first = np.cumsum(size) - size
+        flat = own[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(starts[c], size)]
+        hidden = np.add.reduceat(rows_in.take(flat, axis=0), first, axis=0) / size[:, None].astype(np.float32)
 
     target = rows_out[o]
     score = np.einsum("ij,ij->i", hidden[pair // len(o)], target[pair % len(o)])
@@ -77,10 +91,26 @@ def _step(rows_in, rows_out, centres, contexts, noise, own, starts, lengths, rat
     calm = np.float32(min(1.0, CALM / (len(centres) * share)))
     np.subtract.at(rows_out, noise, rate * calm * (pull.T @ hidden))
 
-    order = np.argsort(flat, kind="stable")
-    touched, begin, uses = np.unique(flat[order], return_index=True, return_counts=True)
-    moved = np.add.reduceat(np.repeat(gradient, size, axis=0)[order], begin, axis=0)
-    rows_in[touched] += rate * moved * np.minimum(1.0, CALM / uses)[:, None].astype(np.float32)
+    if whole:
+        rows_in[flat] += rate * gradient
+        return
+    _add_rows(rows_in, flat, np.repeat(np.arange(len(c)), size), rate * gradient)
+
+
+def _add_rows(rows: np.ndarray, at: np.ndarray, source: np.ndarray, change: np.ndarray) -> None:
+    """``rows[at] += change[source]`` where ``at`` may repeat; a row used often moves CALM fold at most."""
+    order = np.argsort(at, kind="stable")
+    at, source = at[order], source[order]
+    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    uses = np.diff(np.append(begin, len(at)))
+    once = begin[uses == 1]
+    rows[at[once]] += change[source[once]]
+    begin, uses = begin[uses > 1], uses[uses > 1]
+    if len(begin):
+        first = np.cumsum(uses) - uses
+        many = np.arange(uses.sum()) - np.repeat(first, uses) + np.repeat(begin, uses)
+        moved = np.add.reduceat(change[source[many]], first, axis=0)
+        rows[at[begin]] += moved * np.minimum(1.0, CALM / uses)[:, None].astype(np.float32)
 
 
 def _pairs(flat: np.ndarray, run_of: np.ndarray, reach: np.ndarray, begin: int, window: int) -> tuple:
@@ -119,9 +149,8 @@ def _params(kind, key, values: np.ndarray) -> pa.Table:
 
 def _pack_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [g if g is None else np.array(g, dtype=np.int32).tobytes() for g in batch["grams"].to_pylist()]
-        at = batch.schema.get_field_index("grams")
-        yield batch.set_column(at, "grams", pa.array(grams, pa.binary()))
+        packed = [np.array(g, dtype=np.int32).tobytes() for g in batch["grams"].to_pylist()]
+        yield batch.append_column("packed", pa.array(packed, pa.binary()))
 
 
 def _unpack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +162,12 @@ def _unpack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield batch.set_column(batch.schema.get_field_index("vector"), "vector", vector)
 
 
-def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: int, rate: tuple, seed: int) -> pa.Table:
-    """One pass over a shard's token runs; returns the shard's changed rows.
+def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: int, rates: list, seed: int) -> pa.Table:
+    """One pass per learning rate over a shard's token runs; returns the shard's rows.
 
     ``rows`` lists the shard's parameters: kind i (a word's own input), b (a bucket), o (a
-    word's output); word rows carry the corpus frequency and the word's buckets.
+    word's output); word rows carry the corpus frequency and the word's buckets, and every row the number of
+    shards that use it.
     """
     rows = rows.sort_by([("kind", "ascending"), ("key", "ascending")])
     kind = np.array(rows["kind"].to_pylist())
@@ -176,17 +206,21 @@ def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: i
     run_of = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
     kept = flat.is_valid().to_numpy(zero_copy_only=False)
     flat, run_of = flat.drop_null().to_numpy(), run_of[kept]
-    kept = rng.random(len(flat)) < keep_share[flat]
-    flat, run_of = flat[kept].astype(np.int64), run_of[kept]
-    reach = rng.integers(1, window + 1, len(flat))
-    for begin in range(0, len(flat), BATCH):
-        centres, contexts = _pairs(flat, run_of, reach, begin, window)
-        if len(centres):
-            noise = np.searchsorted(noise_upto, rng.random(SHARED_NOISE))
-            now = rate[0] + (rate[1] - rate[0]) * begin / len(flat)
-            _step(values, out, centres, contexts, noise, own, starts, lengths, np.float32(now))
+    before = values.copy()
+    for rate in rates:
+        kept = rng.random(len(flat)) < keep_share[flat]
+        run, at = flat[kept].astype(np.int64), run_of[kept]
+        reach = rng.integers(1, window + 1, len(run))
+        for begin in range(0, len(run), BATCH):
+            centres, contexts = _pairs(run, at, reach, begin, window)
+            if len(centres):
+                noise = np.searchsorted(noise_upto, rng.random(SHARED_NOISE))
+                now = rate[0] + (rate[1] - rate[0]) * begin / len(run)
+                _step(values, out, centres, contexts, noise, own, starts, lengths, np.float32(now))
     values[out_at] = out
-    return _params(rows["kind"], rows["key"], values)
+    # n shards of one row each saw a part of its uses; the mean of n changes would be too small
+    gain = np.sqrt(rows["copies"].to_numpy()).astype(np.float32)[:, None]
+    return _params(rows["kind"], rows["key"], before + gain * (values - before))
 
 
 def _average(dim: int):
@@ -230,9 +264,10 @@ class Trainer:
         shards = self.shards or max(-(-total // SHARD_TOKENS), min(cores, -(-total // LEAST_TOKENS)), 1)
         docs = cut_lineage(self._runs(corpus, shards))
         rows = cut_lineage(self._shard_rows(docs, vocabulary))
-        params = None
-        for epoch in range(self.epochs):
-            params = cut_lineage(self._epoch(docs, rows, params, epoch, known, shards))
+        params, done = None, 0
+        for passes in round_lengths(self.epochs):
+            params = cut_lineage(self._round(docs, rows, params, done, passes, known, shards))
+            done += passes
         schema = "kind string, key string, vector array<float>"
         return params.filter(F.col("kind") != "o").mapInArrow(_unpack_vectors, schema)
 
@@ -245,21 +280,25 @@ class Trainer:
 
     def _shard_rows(self, docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         """Which parameter rows each shard uses: ``(shard, kind, key, tf, grams)``."""
+        schema = "word string, tf bigint, grams array<bigint>, packed binary"
+        ready = cut_lineage(vocabulary.select("word", "tf", "grams").mapInArrow(_pack_grams, schema))
         words = docs.select("shard", F.explode("tokens").alias("word")).distinct()
-        used = words.join(vocabulary, "word")
+        used = words.join(ready, "word")
         own = F.explode(F.array(F.lit("i"), F.lit("o"))).alias("kind")
         buckets = used.select("shard", F.explode("grams").alias("key")).distinct()
-        listed = used.select("shard", own, F.col("word").alias("key"), "tf", "grams")
-        packed = listed.mapInArrow(_pack_grams, "shard int, kind string, key string, tf bigint, grams binary")
-        return packed.unionByName(
+        listed = used.select("shard", own, F.col("word").alias("key"), "tf", F.col("packed").alias("grams")).unionByName(
             buckets.select("shard", F.lit("b").alias("kind"), F.col("key").cast("string").alias("key")),
             allowMissingColumns=True,
         )
+        copies = listed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("copies"))
+        return listed.join(copies, ["kind", "key"])
 
-    def _epoch(self, docs: DataFrame, rows: DataFrame, params: DataFrame | None, epoch: int, known: int, shards: int) -> DataFrame:
+    def _round(
+        self, docs: DataFrame, rows: DataFrame, params: DataFrame | None, done: int, passes: int, known: int, shards: int
+    ) -> DataFrame:
         dim, window, seed = self.dim, self.window, self.seed
         slope = (MIN_ALPHA - ALPHA) / self.epochs
-        rate = (ALPHA + slope * epoch, ALPHA + slope * (epoch + 1))
+        rates = [(ALPHA + slope * e, ALPHA + slope * (e + 1)) for e in range(done, done + passes)]
         if params is None:
             rows = rows.withColumn("vector", F.lit(None).cast("binary"))
         else:
@@ -277,7 +316,7 @@ class Trainer:
             docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
             if docs.num_rows and rows.num_rows:
                 shard = docs["shard"][0].as_py()
-                out = _train_shard(docs, rows, dim, window, known, rate, seed + 1_000 * epoch + shard)
+                out = _train_shard(docs, rows, dim, window, known, rates, seed + 1_000 * done + shard)
                 yield from out.combine_chunks().to_batches()
 
         schema = "kind string, key string, vector binary"

@@ -13,7 +13,7 @@ from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
 from textyard.operators.skipgram import Trainer
 from textyard.operators.wordvec import word_counts
-from textyard.session import cut_lineage
+from textyard.session import cut_lineage, fan_out
 from textyard.sources.tables import with_tokens
 
 SEED = 42
@@ -36,6 +36,7 @@ def subword_vectors(
     low: int = 3,
     high: int = 6,
     hashing: str = "md5",
+    single: bool = False,
 ) -> DataFrame:
     """``(word, vector)`` of distinct ``words``, unseen ones included.
 
@@ -45,11 +46,10 @@ def subword_vectors(
     """
     parts = F.transform(gram_buckets("word", n_buckets, low, high, hashing), lambda b: F.concat(F.lit("b"), b))
     parts = F.concat(parts, F.array(F.concat(F.lit("w"), "word")))
-    table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), F.col("vector").cast("array<double>").alias("vector"))
+    table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), "vector")
     if known is not None:
-        own = F.col("vector").cast("array<double>").alias("vector")
-        table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), own))
-    return mean_pool(words.select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word")
+        table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), "vector"))
+    return mean_pool(fan_out(words, "word").select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word", single=single)
 
 
 @dataclass
@@ -68,7 +68,7 @@ class SubwordModel(Model):
 
     def word_vectors(self, words: DataFrame) -> DataFrame:
         return subword_vectors(
-            words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words, self.low, self.high, self.hashing
+            words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words, self.low, self.high, self.hashing, single=True
         )
 
     def pool(self, corpus: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -102,7 +102,8 @@ class SubwordSkipGram(Vectorizer):
         corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
         total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
         grams = gram_buckets("word", self.buckets, self.min_n, self.max_n, self.hashing)
-        vocabulary = cut_lineage(word_counts(corpus, self.min_count).select("word", "tf", grams.alias("grams")))
+        frequent = fan_out(word_counts(corpus, self.min_count), "word")
+        vocabulary = cut_lineage(frequent.select("word", "tf", grams.alias("grams")))
         n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
         if n_words:
             trainer = Trainer(self.vector_size, self.window, self.epochs, self.seed, self.shards)

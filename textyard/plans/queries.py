@@ -13,7 +13,7 @@ from textyard.functions.hashing import md5_bucket, md5_int
 from textyard.operators import classify, encode, metrics, pooling, prepare, project, reports, sampling, subword, terms, wordvec
 from textyard.operators.contract import Model, Vectorizer
 from textyard.plans import benchmark
-from textyard.session import cut_lineage
+from textyard.session import cut_lineage, fan_out
 from textyard.sources import results as res, reviews, vectors
 from textyard.sources.tables import documents, labelled, table, with_tokens
 
@@ -222,7 +222,7 @@ def ngrams(spark, folder):
 @query
 def char_ngrams(spark, folder):
     words = wordvec.word_counts(token_frame(spark, folder), 1).select("word")
-    return words.select("word", F.array_join(tx.char_ngrams("word"), "|").alias("grams"))
+    return fan_out(words, "word").select("word", F.array_join(tx.char_ngrams("word"), "|").alias("grams"))
 
 
 # Bag of words and TF-IDF ------------------------------------------------------------

@@ -77,6 +77,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan
 
 
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows that are short but costly to work on over all shuffle partitions.
+
+    By size alone adaptive execution would put them into a few tasks; it leaves an explicit
+    partition count as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), key)
+
+
 def few_rows(df: DataFrame, limit: int = GROUP_LIMIT) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``limit``, else None."""
     head = df.limit(limit + 1).collect()

@@ -56,20 +56,18 @@ def keep_lowest(rows: DataFrame, by: list[str], quota: DataFrame, key: Column, b
     return kept.select(*rows.columns)
 
 
-def ranked(rows: DataFrame, key: Column, bucket: Column, by: list[str] | None = None) -> DataFrame:
-    """Add the 1-based ``rank`` by ``key``, overall or within ``by``, without a one-task sort.
+def ranked(rows: DataFrame, key: Column, bucket: Column) -> DataFrame:
+    """Add the 1-based ``rank`` by ``key`` without a one-task sort.
 
     A row's rank is its place within its prefix plus the count of all lower prefixes.
     """
-    by = by or []
     keyed = rows.withColumn("_key", key).withColumn("_bucket", bucket)
-    histogram = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    lower = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = histogram.select(*by, "_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"))
-    if not by:
-        offsets = F.broadcast(offsets)  # at most BUCKETS rows
-    within = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_key"))
-    placed = keyed.withColumn("_within", within).join(offsets, [*by, "_bucket"])
+    histogram = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # at most BUCKETS rows reach this one-task window and the broadcast
+    lower = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = histogram.select("_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(W.partitionBy("_bucket").orderBy("_key"))
+    placed = keyed.withColumn("_within", within).join(F.broadcast(offsets), "_bucket")
     return placed.withColumn("rank", F.col("_within") + F.col("_offset")).select(*rows.columns, "rank")
 
 

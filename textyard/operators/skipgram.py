@@ -7,6 +7,7 @@ changed. Parameters live in a frame that is checkpointed after every round.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textyard.session import cut_lineage
 
-SHARD_TOKENS = 200_000  # tokens of one training shard
+SHARD_TOKENS = 20_000_000  # most tokens of one training shard, held as 4-byte word numbers
 LEAST_TOKENS = 5_000  # a small corpus is not cut finer than this to use all cores
 CHUNK_TOKENS = 10_000  # longest run of tokens kept together; longer texts are trained in pieces
 BATCH = 512  # centre words per gradient step
@@ -162,14 +163,27 @@ def _unpack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield batch.set_column(batch.schema.get_field_index("vector"), "vector", vector)
 
 
-def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: int, rates: list, seed: int) -> pa.Table:
+def _word_numbers(docs: Iterator[pa.RecordBatch], number: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The known words of all token runs as places in ``number``, and the run each belongs to."""
+    flat, run_of, runs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for batch in docs:
+        tokens = batch["tokens"]
+        at = pc.index_in(tokens.flatten(), value_set=number)
+        run = np.repeat(np.arange(runs, runs + len(tokens), dtype=np.int32), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        flat.append(at.drop_null().to_numpy(zero_copy_only=False))
+        run_of.append(run[at.is_valid().to_numpy(zero_copy_only=False)])
+        runs += len(tokens)
+    return np.concatenate(flat), np.concatenate(run_of)
+
+
+def _train_shard(rows: pa.Table, docs: Iterator, dim: int, window: int, known: int, rates: list, seed: int) -> pa.Table:
     """One pass per learning rate over a shard's token runs; returns the shard's rows.
 
-    ``rows`` lists the shard's parameters: kind i (a word's own input), b (a bucket), o (a
-    word's output); word rows carry the corpus frequency and the word's buckets, and every row the number of
-    shards that use it.
+    ``rows`` lists the shard's parameters, sorted: kind b (a bucket), i (a word's own input),
+    o (a word's output); word rows carry the corpus frequency and the word's buckets, and
+    every row the number of shards that use it. ``docs`` yields batches of token runs, of which
+    only the word numbers are kept.
     """
-    rows = rows.sort_by([("kind", "ascending"), ("key", "ascending")])
     kind = np.array(rows["kind"].to_pylist())
     values, fresh = _matrix(rows["vector"], dim)
     new_in = fresh & (kind != "o")  # output rows start at zero
@@ -200,12 +214,7 @@ def _train_shard(docs: pa.Table, rows: pa.Table, dim: int, window: int, known: i
     keep_share = np.minimum(1.0, np.sqrt(SUBSAMPLE / frequency) + SUBSAMPLE / frequency)
 
     rng = np.random.default_rng(seed)
-    docs = docs.sort_by([("_row", "ascending"), ("_part", "ascending")])
-    runs = pa.concat_arrays(docs["tokens"].chunks)
-    flat = pc.index_in(runs.flatten(), value_set=number)
-    run_of = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
-    kept = flat.is_valid().to_numpy(zero_copy_only=False)
-    flat, run_of = flat.drop_null().to_numpy(), run_of[kept]
+    flat, run_of = _word_numbers(docs, number)
     before = values.copy()
     for rate in rates:
         kept = rng.random(len(flat)) < keep_share[flat]
@@ -305,19 +314,23 @@ class Trainer:
             rows = rows.join(params, ["kind", "key"], "left")
         # Shard n becomes partition n: hashing the few shard numbers would put several into one task.
         both = docs.withColumn("kind", F.lit("d")).unionByName(rows, allowMissingColumns=True)
-        dealt = both.repartitionById(shards, F.col("shard"))
+        is_doc = F.col("kind") == "d"
+        dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(is_doc, "kind", "key", "_row", "_part")
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [b for b in batches if b.num_rows]
-            if not parts:
+            params, first = [], None
+            for batch in batches:  # all parameter rows come before the first document
+                docs = pc.equal(batch["kind"], "d")
+                params.append(batch.filter(pc.invert(docs)))
+                if docs[-1].as_py():
+                    first = batch.filter(docs)
+                    break
+            if first is None or not sum(p.num_rows for p in params):
                 return
-            table = pa.Table.from_batches(parts)
-            is_doc = pc.equal(table["kind"], "d")
-            docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
-            if docs.num_rows and rows.num_rows:
-                shard = docs["shard"][0].as_py()
-                out = _train_shard(docs, rows, dim, window, known, rates, seed + 1_000 * done + shard)
-                yield from out.combine_chunks().to_batches()
+            table = pa.Table.from_batches(params)
+            number = seed + 1_000 * done + first["shard"][0].as_py()
+            out = _train_shard(table, itertools.chain([first], batches), dim, window, known, rates, number)
+            yield from out.combine_chunks().to_batches()
 
         schema = "kind string, key string, vector binary"
         return dealt.mapInArrow(train, schema).repartition("kind", "key").mapInArrow(_average(dim), schema)

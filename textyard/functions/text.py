@@ -51,13 +51,26 @@ def normalise_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACES, " "))
 
 
+def _may_hold_url(raw: Column) -> Column:
+    """Cheap test that is true for every text with a link, in whatever case."""
+    test = raw.contains("://")
+    for end in ("ww.", "wW.", "Ww.", "WW."):
+        test = test | raw.contains(end)
+    return test
+
+
 def words(c: Column | str) -> Column:
     """Lower-cased words of two or more letters or digits, links and tags removed.
 
     One pattern pass does the work of blanking, collapsing, splitting and dropping
-    one-letter words: those steps leave exactly the maximal runs of ``[a-z0-9]``.
+    one-letter words: those steps leave exactly the maximal runs of ``[a-z0-9]``. The tests
+    look at the raw text so that every step is evaluated once per row.
     """
-    return F.regexp_extract_all(strip_html(strip_urls(F.lower(as_text(c)))), F.lit(WORD), F.lit(0))
+    raw = as_text(c)
+    low = F.lower(raw)
+    linkless = F.when(_may_hold_url(raw), F.regexp_replace(low, URL, " ")).otherwise(low)
+    tagless = F.when(raw.contains("<"), F.regexp_replace(linkless, TAG, " ")).otherwise(linkless)
+    return F.regexp_extract_all(tagless, F.lit(WORD), F.lit(0))
 
 
 def without_stopwords(tokens: Column | str, stopwords: Sequence[str] = ENGLISH) -> Column:

@@ -14,7 +14,7 @@ from textyard.operators.pooling import mean_pool
 from textyard.operators.skipgram import Trainer
 from textyard.operators.wordvec import word_counts
 from textyard.session import cut_lineage, fan_out
-from textyard.sources.tables import with_tokens
+from textyard.sources.tables import token_rows, with_tokens
 
 SEED = 42
 BUCKETS = 2**15
@@ -49,7 +49,7 @@ def subword_vectors(
     table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), "vector")
     if known is not None:
         table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), "vector"))
-    return mean_pool(fan_out(words, "word").select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word", single=single)
+    return mean_pool(fan_out(words).select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word", single=single)
 
 
 @dataclass
@@ -74,7 +74,7 @@ class SubwordModel(Model):
     def pool(self, corpus: DataFrame, row_id: str = "doc_id") -> DataFrame:
         """Mean over all tokens; each distinct token is built once."""
         corpus = with_tokens(corpus)
-        distinct = corpus.select(F.explode("tokens").alias("word")).distinct()
+        distinct = token_rows(corpus).distinct()
         table = cut_lineage(self.word_vectors(distinct))
         return mean_pool(corpus, table, self.dim, table.count(), row_id)
 
@@ -102,7 +102,7 @@ class SubwordSkipGram(Vectorizer):
         corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
         total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
         grams = gram_buckets("word", self.buckets, self.min_n, self.max_n, self.hashing)
-        frequent = fan_out(word_counts(corpus, self.min_count), "word")
+        frequent = fan_out(word_counts(corpus, self.min_count))
         vocabulary = cut_lineage(frequent.select("word", "tf", grams.alias("grams")))
         n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
         if n_words:

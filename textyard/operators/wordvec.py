@@ -11,7 +11,7 @@ from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
 from textyard.operators.skipgram import Trainer
 from textyard.session import cut_lineage
-from textyard.sources.tables import with_tokens
+from textyard.sources.tables import token_rows, with_tokens
 from textyard.sources.vectors import dedupe_last, read_vector_text
 
 SEED = 42
@@ -19,7 +19,7 @@ SEED = 42
 
 def word_counts(corpus: DataFrame, min_count: int = 2) -> DataFrame:
     """Corpus frequency of words seen at least ``min_count`` times."""
-    rows = with_tokens(corpus).select(F.explode("tokens").alias("word"))
+    rows = token_rows(corpus)
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("tf")).filter(F.col("tf") >= min_count)
 
 

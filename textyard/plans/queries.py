@@ -15,7 +15,7 @@ from textyard.operators.contract import Model, Vectorizer
 from textyard.plans import benchmark
 from textyard.session import cut_lineage, fan_out
 from textyard.sources import results as res, reviews, vectors
-from textyard.sources.tables import documents, labelled, table, with_tokens
+from textyard.sources.tables import documents, labelled, table, token_rows, with_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -222,7 +222,7 @@ def ngrams(spark, folder):
 @query
 def char_ngrams(spark, folder):
     words = wordvec.word_counts(token_frame(spark, folder), 1).select("word")
-    return fan_out(words, "word").select("word", F.array_join(tx.char_ngrams("word"), "|").alias("grams"))
+    return fan_out(words).select("word", F.array_join(tx.char_ngrams("word"), "|").alias("grams"))
 
 
 # Bag of words and TF-IDF ------------------------------------------------------------
@@ -348,7 +348,7 @@ def subword_vectors(spark, folder):
     docs = token_frame(spark, folder)
     known, n, dim = word_table(spark, folder, docs)
     emb = table(spark, folder, "embeddings").select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vector"))
-    words = docs.select(F.explode("tokens").alias("word")).distinct()
+    words = token_rows(docs).distinct()
     built = subword.subword_vectors(words, emb, emb.count(), dim, known.select("word", "vector"), n)
     v = F.col("vector")
     ramp = F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.size(v)), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)

@@ -77,7 +77,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
+def fan_out(df: DataFrame) -> DataFrame:
     """Spread rows that are short but costly to work on over all shuffle partitions.
 
     By size alone adaptive execution would put them into a few tasks; it leaves an explicit
@@ -85,7 +85,7 @@ def fan_out(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), key)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores))
 
 
 def few_rows(df: DataFrame, limit: int = GROUP_LIMIT) -> list[Row] | None:

@@ -33,3 +33,13 @@ def with_tokens(corpus: DataFrame) -> DataFrame:
     if "tokens" in corpus.columns:
         return corpus
     return corpus.withColumn("tokens", tx.tokens("text")).drop("text")
+
+
+def token_rows(corpus: DataFrame, *keep: str) -> DataFrame:
+    """One row per token: the ``keep`` columns and ``word``.
+
+    A plain explode lets the optimizer infer a filter on the array's size and evaluate the
+    whole cleaner a second time for it; the outer form does not.
+    """
+    rows = with_tokens(corpus).select(*keep, F.explode_outer("tokens").alias("word"))
+    return rows.filter(F.col("word").isNotNull())

@@ -227,3 +227,20 @@ def test_projection(spark, sf):
 def test_word_counts(spark):
     got = {r.word: r.tf for r in wordvec.word_counts(corpus(spark, "a b a", "b c"), 2).collect()}
     assert got == {k: v for k, v in Counter("abab").items()}
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    docs = corpus(spark, "red blue red", "blue green", "red green green")
+    model = terms.TfIdf(min_df=1).fit(docs)
+    model.save(str(tmp_path / "tfidf"))
+    again = terms.TermModel.load(spark, str(tmp_path / "tfidf"))
+    assert again.transform(docs).collect() == model.transform(docs).collect()
+    model = subword.SubwordSkipGram(vector_size=4, epochs=1, buckets=32).fit(docs)
+    model.save(str(tmp_path / "subword"))
+    again = subword.SubwordModel.load(spark, str(tmp_path / "subword"), n_buckets=32)
+    assert again.pool(docs).orderBy("doc_id").collect() == model.pool(docs).orderBy("doc_id").collect()
+    model = wordvec.SkipGram(vector_size=4, epochs=1).fit(docs)
+    model.save(str(tmp_path / "words"))
+    again = wordvec.WordVectorModel.load(spark, str(tmp_path / "words"))
+    assert (again.dim, again.n_vectors) == (4, 3)
+    assert again.pool(docs).orderBy("doc_id").collect() == model.pool(docs).orderBy("doc_id").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textyard.functions import text as tx
 from textyard.functions.hashing import BUCKET_FUNCTIONS
@@ -66,6 +66,20 @@ class SubwordModel(Model):
     high: int
     hashing: str
 
+    def save(self, path: str) -> None:
+        self.words.write.parquet(f"{path}/words")
+        self.buckets.write.parquet(f"{path}/buckets")
+
+    @classmethod
+    def load(
+        cls, spark: SparkSession, path: str, n_buckets: int = BUCKETS, low: int = 3, high: int = 6,
+        hashing: str = "md5", name: str = "fasttext",
+    ) -> SubwordModel:
+        """The n-gram settings must be those the model was trained with."""
+        words, buckets = spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/buckets")
+        n, dim = words.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        return cls(name, words, buckets, n, n_buckets, dim or 0, low, high, hashing)
+
     def word_vectors(self, words: DataFrame) -> DataFrame:
         return subword_vectors(
             words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words, self.low, self.high, self.hashing, single=True

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, types as T
 
 from textyard.functions import text as tx
 from textyard.operators.contract import Model, Vectorizer
@@ -117,6 +117,25 @@ class TermModel(Model):
             self.vocabulary_rows, "term string, idx bigint, tf bigint, df bigint, idf double"
         )
 
+    def save(self, path: str) -> None:
+        """One Parquet row per term; the settings are repeated in every row."""
+        low, high = self.ngrams
+        settings = {
+            "name": self.name, "n_docs": self.n_docs, "low": low, "high": high,
+            "tfidf": self.tfidf, "sublinear": self.sublinear, "norm": self.norm,
+        }
+        self.vocabulary.select("*", *[F.lit(v).alias(f"_{k}") for k, v in settings.items()]).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> TermModel:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["idx"])
+        terms = [Row(**{c: r[c] for c in ("term", "idx", "tf", "df", "idf")}) for r in rows]
+        head = rows[0]
+        return cls(
+            head["_name"], spark, terms, head["_n_docs"], (head["_low"], head["_high"]),
+            head["_tfidf"], head["_sublinear"], head["_norm"],
+        )
+
     def _weighted(self, corpus: DataFrame, as_vector: bool) -> DataFrame:
         corpus = with_tokens(corpus)
         keep = [c for c in corpus.columns if c != "tokens"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
@@ -41,6 +41,12 @@ class WordVectorModel(Model):
     def save(self, path: str) -> None:
         self.vectors.write.parquet(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, name: str = "word2vec") -> WordVectorModel:
+        table = spark.read.parquet(path)
+        n, dim = table.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        return cls(name, table, dim or 0, n)
+
 
 @dataclass
 class SkipGram(Vectorizer):

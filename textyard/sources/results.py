@@ -37,6 +37,12 @@ def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("dataset").json(path)
 
 
+def read_result_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read what ``write_results`` wrote."""
+    rows = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("dataset", T.StringType())])).json(path)
+    return rows.select("dataset", *[c for c in rows.columns if c != "dataset"])
+
+
 def results_union(*parts: DataFrame | None) -> DataFrame:
     """Concatenate result sets; an absent one counts as empty."""
     present = [p for p in parts if p is not None]

@@ -2,8 +2,8 @@
 
 Documents with the same set are one node, nodes with the same size and prefix are one group, and only groups
 meet in the prefix index. Links are found in two rounds. First each node is compared with the leader of its
-group and each group's leader with one leader for every prefix token they share: as many pairs as index rows,
-and enough to join nearly all copies. What these links connect need not be compared again, so the second
+group and each group's leader with one leader for every prefix token they share: at most as many pairs as
+index rows, and enough to join nearly all copies. What these links connect need not be compared again, so the second
 round takes the group pairs of a token in which not all sides are connected yet, filters them by length and
 position, expands them to their members and verifies those. Every link between documents that are not
 connected otherwise is verified, so the components are exact; a family of thousands of copies costs one
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textyard.llm.common import few, stored
 from textyard.llm.components import components
-from textyard.llm.setjoin import Likeness, Units, length_ok, profiles, rarity, shared_tokens, verified
+from textyard.llm.setjoin import Likeness, Units, profiles, rarity, shared_tokens, verified
 
 
 def similar_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -55,8 +55,9 @@ def similar_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame
 def _leader_pairs(sets: DataFrame, groups: DataFrame, index: DataFrame, like: Likeness) -> DataFrame:
     """Each set with its group's leader, and leaders of groups that share a token with that token's first group."""
     within = sets.join(groups.select("pid", "leader"), "pid").where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"))
-    pivots = index.groupBy("token").agg(F.min(F.struct("n", "pid")).alias("p")).select("token", F.col("p.n").alias("pn"), F.col("p.pid").alias("pp"))
-    met = index.join(pivots, "token").where("pid <> pp").where(length_ok(like, "n", "pn")).select("pid", "pp").distinct()
+    # the group in which a token comes earliest has the fewest shingles of its own: the text others were made from
+    pivots = index.groupBy("token").agg(F.min(F.struct("pos", "n", "pid")).alias("p")).select("token", F.col("p.pos").alias("pp_pos"), F.col("p.n").alias("pn"), F.col("p.pid").alias("pp"))
+    met = index.join(pivots, "token").where("pid <> pp").where(like.may_be("n", "pn", "pos", "pp_pos")).select("pid", "pp").distinct()
     mine = groups.select("pid", F.col("leader").alias("a"), F.col("n").alias("na"))
     other = groups.select(F.col("pid").alias("pp"), F.col("leader").alias("b"), F.col("n").alias("nb"))
     across = met.join(mine, "pid").join(other, "pp").select("a", "b", "na", "nb")

@@ -42,9 +42,12 @@ class Likeness:
         return f"100 * ({common}) >= {self.percent} * ({a} + {b} - ({common}))"
 
     def may_be(self, na: str, nb: str, pa_: str, pb: str) -> str:
-        """SQL: sets of these sizes that share the tokens at these places can be alike: length and position."""
-        least = f"(least({pa_}, {pb}) + least({na} - {pa_}, {nb} - {pb}))"
-        return f"100 * least({na}, {nb}) >= {self.percent} * greatest({na}, {nb}) and {self.similar(least, na, nb)}"
+        """SQL: sets of these sizes whose first common token stands at these places can be alike: length and position.
+
+        Nothing before the first common token is common, so no more than the rest of either set can be.
+        """
+        rest = f"least({na} - {pa_}, {nb} - {pb})"
+        return f"{length_ok(self, na, nb)} and {self.similar(rest, na, nb)}"
 
 
 @dataclass(frozen=True)

@@ -49,6 +49,8 @@ RULES = (
     ("ISC", "text", ("isc_grant",)),
     ("MPL-2.0", "notice", ("mpl_subject",)),
 )
+# Every known sentence has one of these words: texts without them are not cut.
+ANCHORS = ("license", "software", "warranty", "cc0")
 BREAK = "\u0001"
 # in this order: comment marks at line starts; ends of sentences; line breaks that do not go on in lower case
 CUTS = (
@@ -56,17 +58,29 @@ CUTS = (
     (r"([.!?])[ \t\r\n]+", r"$1" + BREAK),
     (r"\n[ \t\r]*([^a-z \t\r])", BREAK + r"$1"),
 )
+WRAPPED = (*CUTS[:2], (r"\n[ \t\r]*\n", BREAK))
 
 
 def identifiers(text: str = "text"):
-    """The identifiers of the known sentences of a text, in order, as (place, id), places counted over all sentences."""
-    marked = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    for pattern, by in CUTS:
-        marked = F.regexp_replace(marked, pattern, by)
-    plain = F.regexp_replace(F.lower(marked), "[^a-z0-9" + BREAK + "]+", " ")
+    """The identifiers of the known sentences of a text, in order, as (place, id), places counted over all sentences.
+
+    Sentences end at full stops. A line break ends one too, unless the next line goes on in lower case; as
+    wrapped lines may also go on in capitals, a second reading ends sentences at full stops and blank lines only.
+    The reading with more known sentences counts, the first if they tie.
+    """
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     known = F.create_map(*[F.lit(v) for name, sentence in SENTENCES.items() for v in (sentence, name)])
-    parts = F.transform(F.split(plain, BREAK), lambda s, i: F.struct(i.alias("place"), F.try_element_at(known, F.trim(s)).alias("id")))
-    return F.filter(parts, lambda p: p["id"].isNotNull())
+
+    def read(cuts):
+        marked = whole
+        for pattern, by in cuts:
+            marked = F.regexp_replace(marked, pattern, by)
+        plain = F.regexp_replace(F.lower(marked), "[^a-z0-9" + BREAK + "]+", " ")
+        parts = F.transform(F.split(plain, BREAK), lambda s, i: F.struct(i.alias("place"), F.try_element_at(known, F.trim(s)).alias("id")))
+        return F.filter(parts, lambda p: p["id"].isNotNull())
+
+    anchored = F.lower(whole).rlike("|".join(ANCHORS))
+    return F.when(anchored, F.array(read(CUTS), read(WRAPPED)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -75,7 +89,8 @@ def scan(docs: DataFrame) -> DataFrame:
     A rule counts once per text, at its first match. A null or empty text matches nothing; rows that share a
     doc_id each give their matches, a null doc_id is kept. Columns besides doc_id and text are not read.
     """
-    found = docs.select("doc_id", identifiers().alias("found")).where(F.size("found") > 0)
+    both = docs.select("doc_id", identifiers().alias("both")).where("size(both[0]) > 0 or size(both[1]) > 0")
+    found = both.select("doc_id", F.expr("if(size(both[1]) > size(both[0]), both[1], both[0])").alias("found"))
     named = found.withColumn("row", F.concat(F.lit(","), F.array_join(F.transform("found", lambda p: p["id"]), ","), F.lit(",")))
     rules = F.array(*[F.struct(F.lit(l).alias("licence"), F.lit(k).alias("kind"), F.lit(len(s)).alias("sentences"), F.lit("," + ",".join(s) + ",").alias("needle")) for l, k, s in RULES])
     matches = named.select("doc_id", "found", "row", F.explode(F.filter(rules, lambda r: F.instr(F.col("row"), r["needle"]) > 0)).alias("r"))
@@ -88,20 +103,26 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The same in DuckDB SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "coalesce(text, '')"
-    for pattern, by in CUTS:
-        by = by.replace("$1", "\\1")
-        shown = "'" + by.replace("\n", "' || chr(10) || '").replace(BREAK, "' || chr(1) || '") + "'"
-        text = f"regexp_replace({text}, {quoted(pattern)}, {shown}, 'g')"
-    plain = f"regexp_replace(lower({text}), '[^a-z0-9' || chr(1) || ']+', ' ', 'g')"
+
+    def parts(cuts):
+        text = "coalesce(text, '')"
+        for pattern, by in cuts:
+            by = by.replace("$1", "\\1")
+            shown = "'" + by.replace("\n", "' || chr(10) || '").replace(BREAK, "' || chr(1) || '") + "'"
+            text = f"regexp_replace({text}, {quoted(pattern)}, {shown}, 'g')"
+        return f"string_split(regexp_replace(lower({text}), '[^a-z0-9' || chr(1) || ']+', ' ', 'g'), chr(1))"
+
     sentences = ", ".join(f"({quoted(s)}, {quoted(n)})" for n, s in SENTENCES.items())
     rules = ", ".join(f"({quoted(l)}, {quoted(k)}, {len(s)}, {quoted(',' + ','.join(s) + ',')})" for l, k, s in RULES)
     return f"""
     WITH known(sentence, id) AS (VALUES {sentences}), rules(licence, kind, sentences, needle) AS (VALUES {rules}),
-    cut AS (SELECT doc_id, row_number() OVER () AS rid, string_split({plain}, chr(1)) AS parts FROM documents),
-    told AS (SELECT doc_id, rid, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS place FROM cut),
-    named AS (SELECT doc_id, rid, list(id ORDER BY place) AS ids, list(place ORDER BY place) AS places
-              FROM told JOIN known ON trim(s) = sentence GROUP BY doc_id, rid),
+    docs AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+    cut AS (SELECT doc_id, rid, 1 AS reading, {parts(CUTS)} AS parts FROM docs UNION ALL
+            SELECT doc_id, rid, 2, {parts(WRAPPED)} FROM docs),
+    told AS (SELECT doc_id, rid, reading, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS place FROM cut),
+    read_ AS (SELECT doc_id, rid, reading, list(id ORDER BY place) AS ids, list(place ORDER BY place) AS places
+              FROM told JOIN known ON trim(s) = sentence GROUP BY doc_id, rid, reading),
+    named AS (SELECT * FROM read_ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len(ids) DESC, reading) = 1),
     rowed AS (SELECT *, ',' || array_to_string(ids, ',') || ',' AS row_ FROM named),
     hits AS (SELECT doc_id, places, licence, kind, sentences, substr(row_, 1, instr(row_, needle) - 1) AS ahead
              FROM rowed, rules WHERE instr(row_, needle) > 0)

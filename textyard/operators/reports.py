@@ -28,19 +28,19 @@ CHART_METRICS = ("accuracy", "precision", "recall", "f1_macro")
 MATRIX_METRICS = (*CHART_METRICS, "f1_weighted")
 
 
-def leaderboard(results: DataFrame) -> DataFrame:
+def leaderboard(results: DataFrame, methods: tuple = METHODS) -> DataFrame:
     """Every expected method of every dataset in display order; a missing one is flagged."""
-    joined = _expected(results).join(results, ["dataset", "vectorizer"], "left")
+    joined = _expected(results, methods).join(results, ["dataset", "vectorizer"], "left")
     return joined.select(
-        "dataset", "display_order", "vectorizer", "display_name", "family", F.col("embedding_dim").cast("double"), "fit_time_s",
+        "dataset", "display_order", "vectorizer", "display_name", "family", F.col("embedding_dim").cast("bigint"), "fit_time_s",
         "transform_time_s", "accuracy", "f1_macro", "f1_weighted", F.col("accuracy").isNotNull().alias("available"),
     )
 
 
-def _expected(results: DataFrame) -> DataFrame:
+def _expected(results: DataFrame, methods: tuple) -> DataFrame:
     fields = [
         F.struct(F.lit(k).alias("vectorizer"), F.lit(n).alias("display_name"), F.lit(f).alias("family"), F.lit(o).alias("display_order"))
-        for k, n, f, o in METHODS
+        for k, n, f, o in methods
     ]
     return results.select("dataset").distinct().select("dataset", F.inline(F.array(*fields)))
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from textyard.llm import attribution, hnsw, licences, line_dedup, mixing, ngram_join, packing, quality, topk, toxicity
+from textyard.llm import (
+    attribution, collocations, conversations, hnsw, host_rules, licences, line_dedup, mixing, ngram_join, packing, quality, topk,
+    toxicity,
+)
 from textyard.llm.common import table
 from textyard.llm.setjoin import Likeness
 
@@ -68,6 +71,21 @@ def op10_licences(spark, folder) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+@query
+def op11_host_rules(spark, folder) -> DataFrame:
+    return host_rules.judge(table(spark, folder, "documents"))
+
+
+@query
+def op12_conversation_repair(spark, folder) -> DataFrame:
+    return conversations.repair(table(spark, folder, "conversations"))
+
+
+@query
+def op13_collocations(spark, folder) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark, folder) -> DataFrame:
     import corpus_pipeline
@@ -87,4 +105,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8, "op10_licences": licences.scan_sql()}
+    return {
+        "op8_topk": OP8, "op10_licences": licences.scan_sql(), "op11_host_rules": host_rules.judge_sql(),
+        "op12_conversation_repair": conversations.repair_sql(), "op13_collocations": collocations.collocations_sql(),
+    }

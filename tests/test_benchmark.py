@@ -4,6 +4,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from textyard.operators import classify, metrics, reports
+from textyard.operators.contract import Model, Vectorizer
 from textyard.plans import benchmark
 from textyard.sources.results import RECORD, SCORES
 from textyard.sources.tables import labelled
@@ -81,7 +82,7 @@ def test_logistic_regression_reaches_the_optimum(spark):
         [(int(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"]
     )
     model = classify.fit_logistic(rows, tol=1e-9)
-    beta, bias = model.coefficients.toArray(), model.intercept
+    beta, bias = np.asarray(model.coefficients), model.intercept
     weight = np.where(y == 1, 120 / (2 * y.sum()), 120 / (2 * (120 - y.sum())))
     p = 1 / (1 + np.exp(-(x @ beta + bias)))
     gradient = beta + x.T @ (weight * (p - y))
@@ -92,6 +93,33 @@ def test_logistic_regression_reaches_the_optimum(spark):
     assert np.isclose(weights[1], 120 / (2 * y.sum()))
 
 
+@pytest.mark.parametrize("kind", ["vector", "array"])
+def test_newton_reaches_the_optimum_in_few_jobs(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 12)) * rng.uniform(0.1, 30, 12)
+    y = (x @ rng.normal(size=12) + 40 * rng.normal(size=900) > 60).astype(int)
+    cells = [(int(b), Vectors.dense(a) if kind == "vector" else a.tolist()) for a, b in zip(x, y)]
+    rows = spark.createDataFrame(cells, ["label", "features"]).repartition(7)
+    model = classify.fit_logistic(rows, c=0.7)
+    assert model.steps <= 10 and model.gradient_norm < 1e-4
+    weight = 0.7 * np.where(y == 1, 900 / (2 * y.sum()), 900 / (2 * (900 - y.sum())))
+    p = 1 / (1 + np.exp(-(x @ model.coefficients + model.intercept)))
+    assert np.abs(model.coefficients + x.T @ (weight * (p - y))).max() < 1e-3 and abs((weight * (p - y)).sum()) < 1e-3
+    scored = classify.predict(model, rows).collect()
+    assert [r.prediction for r in scored] == [int(np.dot(model.coefficients, np.array(r.features)) + model.intercept > 0) for r in scored]
+    margins = rows.select(model.margin(F.col("features")).alias("m")).collect() if kind == "array" else []
+    assert all(np.isfinite(r.m) for r in margins)
+
+
+def test_newton_on_one_class_and_separable_rows(spark):
+    one = spark.createDataFrame([(1, [float(i), 1.0]) for i in range(20)], "label int, features array<double>")
+    model = classify.fit_logistic(one)
+    assert classify.predict(model, one).where("prediction <> 1").count() == 0
+    split = spark.createDataFrame([(int(i > 9), [float(i)]) for i in range(20)], "label int, features array<double>")
+    model = classify.fit_logistic(split)
+    assert model.gradient_norm < 1e-6 and classify.predict(model, split).where("prediction <> label").count() == 0
+
+
 def test_linear_scores(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     entries = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 1, 1.0), (2, 9, 5.0)], "doc_id long, idx long, weight double")
@@ -100,13 +128,27 @@ def test_linear_scores(spark):
     assert got == {1: (2.25, 1), 2: (-0.75, 0), 3: (0.25, 1)}
 
 
+class LongestWord(Vectorizer, Model):
+    """A method of one's own that reads the raw text."""
+
+    name, dim, reads_text = "longest", 1, True
+
+    def fit(self, corpus):
+        return self
+
+    def transform(self, corpus):
+        longest = F.array_max(F.transform(F.split("text", r"\s+"), F.length)).cast("double")
+        return corpus.withColumn("features", F.array(F.coalesce(longest, F.lit(0.0))))
+
+
 def test_benchmark_end_to_end(spark, sf):
     table = spark.createDataFrame([("idiot", [1.0, 2.0]), ("worthless", [2.0, 1.0])], "word string, vector array<float>")
     out = benchmark.run_benchmark(
-        labelled(spark, sf, "text"), "toxic", ["bow", "tfidf", "glove", "distilbert"], vectors=table, vector_size=2
+        labelled(spark, sf, "text"), "toxic", ["bow", "tfidf", "glove", "longest"], vectors=table, vector_size=2,
+        own={"longest": LongestWord},
     ).collect()
-    assert [r.vectorizer for r in out] == ["bow", "tfidf", "glove", "distilbert"]
-    assert [r.embedding_dim for r in out][1:] == [out[1].embedding_dim, 2, 768]
+    assert [r.vectorizer for r in out] == ["bow", "tfidf", "glove", "longest"]
+    assert [r.embedding_dim for r in out][1:] == [out[1].embedding_dim, 2, 1]
     assert all(0 <= r[c] <= 1 for r in out for c in SCORES)
     assert all(r.fit_time_s >= 0 and r.transform_time_s > 0 for r in out)
 

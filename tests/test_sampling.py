@@ -99,6 +99,55 @@ def test_many_groups_take_the_shuffle_path(spark, monkeypatch):
     assert len(want) == 120
 
 
+def test_several_draws_from_one_table(spark, rows):
+    draws = sampling.Draws(rows)
+    assert draws.sizes == {0: 900, 1: 100}
+    marked = draws.marked({"a": draws.quotas({0: 7, 1: 100}), "b": draws.quotas({0: 900, 1: 3}), "none": draws.quotas({0: 0})})
+    want = by_label(rows)
+    for name, sizes in (("a", {0: 7, 1: 100}), ("b", {0: 900, 1: 3}), ("none", {0: 0, 1: 0})):
+        got = by_label(marked.where(name))
+        assert got == {c: want[c][:n] for c, n in sizes.items() if n}
+    assert marked.count() == 1000
+
+
+def test_balance_and_split_is_a_split_of_the_balanced_rows(rows):
+    with pytest.warns(UserWarning):
+        got = sampling.balance_and_split(rows)
+        kept = sampling.balance_min(rows)
+    again = sampling.stratified_split(kept)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_many_classes_and_rows_without_one(spark):
+    rows = spark.range(36_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 12_000)).alias("label"))
+    got = sampling.stratified_split(rows).groupBy("label", "split").count().collect()
+    sizes = {r["_label"]: r["_size"] for r in sampling.Draws(rows).size_frame.collect()}
+    assert len(sizes) == 8_000 and set(sizes.values()) == {3}
+    test = Counter(r["count"] for r in got if r.split == "test" and r.label is not None)
+    # 4,800 test rows over 8,000 classes of three: one each for 4,800 of them
+    assert sum(n * c for n, c in test.items()) == 4_800 and test == {1: 4_800}
+    quota = {r["_label"]: r["_quota"] for r in sampling.split_quota_frame(sampling.Draws(rows).size_frame).collect()}
+    assert quota == sampling.split_quotas(sizes)
+    assert [r["count"] for r in got if r.label is None] == [12_000]
+
+
+@pytest.mark.parametrize("range_rows", [5, 100, 1 << 20])
+def test_cap_per_group_by_quantiles(spark, range_rows):
+    """Far-off and wide ids, null groups and orders, hot and small groups."""
+    far = [-(2**63), 2**63 - 1, 2**62]
+    rows = [("hot", i * i) for i in range(2_000)] + [("hot", v) for v in far] + [(None, 7 * i) for i in range(300)]
+    rows += [("small", v) for v in (5, 3)] + [("wide", v) for v in (*far, *range(40))] + [("gone", None)] * 30 + [("half", i if i < 6 else None) for i in range(30)]
+    got = sampling.cap_per_group(spark.createDataFrame(rows, "source string, doc_id long"), "source", 11, range_rows=range_rows).collect()
+    have = {}
+    for r in got:
+        have.setdefault(r.source, []).append(r.doc_id)
+    want = {}
+    for g, v in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        want.setdefault(g, []).append(v)
+    want = {g: v[:11] for g, v in want.items()}
+    assert {g: sorted(v) for g, v in have.items()} == want
+
+
 def test_same_sample_for_any_partitioning(spark, rows):
     one = sampling.stratified_split(rows.coalesce(1)).filter("split = 'test'")
     spark.conf.set("spark.sql.shuffle.partitions", "3")

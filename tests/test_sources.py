@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textyard.operators import prepare
 from textyard.sources import labelled_csv, results, reviews, vectors
 from textyard.streaming.ingest import ingest_reviews
+from textyard.streaming.state import ingest_until
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -88,3 +89,49 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     streamed = spark.read.parquet(out)
     assert sorted(map(tuple, streamed.select("text", "label").collect())) == sorted(map(tuple, batch.collect()))
     assert streamed.filter(F.col("clean").isNull()).count() == 0
+
+
+def sourced(source, page, success, cursor, *lengths):
+    items = [{"review": f"{source}{page}{i}".ljust(n, "x"), "voted_up": bool(i % 2)} for i, n in enumerate(lengths)]
+    return {"source": source, "page": page, "success": success, "cursor": cursor, "reviews": items}
+
+
+def test_stateful_ingestion_equals_batch(spark, tmp_path):
+    landing, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    landing.mkdir()
+    a = [sourced("a", i, 1, "c", 30, 19, 40, 25) for i in range(4)]
+    b = [sourced("b", 0, 1, "c", 50, 60), sourced("b", 1, 0, "c", 70), sourced("b", 2, 1, "c", 80)]
+    c = [sourced("c", 0, 1, "c", 20), sourced("c", 1, 1, "", 22, 10), sourced("c", 2, 1, "c", 23)]
+    d = [sourced("d", 0, 1, "c", 20), sourced("d", 1, 1, "c"), sourced("d", 2, 1, "c", 23)]
+    # late, early and repeated files over four runs; each run restarts from the state folder
+    runs = [[a[1], b[0], c[0], d[0]], [a[0], a[1], b[2], c[2], c[1]], [a[3], b[1], a[0], d[2]], [a[2], b[0], d[1]]]
+    for n, files in enumerate(runs):
+        for i, page in enumerate(files):
+            (landing / f"{n}-{i}.json").write_text(json.dumps(page))
+        ingest_until(spark, str(landing), out, state, 7).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(out).select("source", "text", "label").collect()))
+    pages = spark.read.schema(reviews.SOURCED_PAGE).option("multiLine", True).json(str(landing))
+    batch = sorted(map(tuple, reviews.take_reviews(pages, 7).collect()))
+    assert got == batch
+    assert [sum(r[0] == s for r in got) for s in "abcd"] == [7, 2, 2, 1]
+
+
+def test_take_reviews_with_one_hot_source_and_nulls(spark):
+    rows = [("hot", i, 1, "c", [("x" * 25, True)] * 3) for i in range(400)] + [(None, 0, 1, None, [("y" * 30, None)]), (None, 1, 1, "c", [("z" * 30, True)])]
+    rows += [("odd", 0, None, "c", [("x" * 25, True)]), ("none", 0, 1, "c", None)]
+    pages = spark.createDataFrame(rows, reviews.SOURCED_PAGE)
+    got = reviews.take_reviews(pages, 1_000).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"hot": 1_000, None: 1}
+
+
+def test_sql_functions_equal_the_columns_and_stay_native(spark):
+    from textyard.functions import sql, text as tx
+
+    texts = ["You're an IDIOT!! Visit http://spam.com for more", None, "", "<b>Bold</b> WWW.x.com\u00a0end été", "a<b and c>d <i", "x://y don't"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    sql.register(spark)
+    got = spark.sql("SELECT id, clean_text(t) AS c, text_bigrams(text_tokens(t)) AS g FROM {docs}", docs=docs)
+    want = docs.select("id", tx.clean("t").alias("c"), tx.ngrams(tx.tokens("t")).alias("g"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "regexp" in plan

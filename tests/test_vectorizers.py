@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textyard.operators import encode, pooling, project, subword, terms, wordvec
-from textyard.operators.skipgram import round_lengths, start_rows
+from textyard.functions.hashing import HEX_DIGITS
+from textyard.operators import cooccur, frequent, pooling, project, subword, terms, wordvec
 
 
 def corpus(spark, *texts):
@@ -72,13 +72,19 @@ def test_unseen_terms_and_empty_documents(spark):
 VECTORS = [(0, "cat", [1.0, 0.0]), (1, "dog", [3.0, 2.0]), (2, "cow", [9.0, 9.0]), (3, "cat", [1.0, 4.0])]
 
 
-@pytest.mark.parametrize("budget", [10**9, 0])
-def test_mean_pool_both_ways(spark, budget):
-    table = spark.createDataFrame(VECTORS[1:], "seq long, word string, vector array<float>").drop("seq")
-    docs = corpus(spark, "cat cat dog bird", "bird", "", "cow")
-    got = {r.doc_id: r.vector for r in pooling.mean_pool(docs, table, 2, 3, budget=budget).collect()}
-    assert np.allclose(got[0], [5 / 3, 10 / 3])
-    assert got[1] == [0.0, 0.0] and got[2] == [0.0, 0.0] and got[3] == [9.0, 9.0]
+@pytest.mark.parametrize("budget", [10**9, pooling.table_bytes(1, 2), pooling.table_bytes(2, 2), 0])
+def test_mean_pool_gives_one_answer(spark, budget):
+    """By broadcast, by head and tail, by joins alone: repeats and nulls count the same."""
+    given = [*VECTORS, (4, None, [7.0, 7.0]), (5, "hen", None)]
+    table = spark.createDataFrame(given, "seq long, word string, vector array<float>").drop("seq")
+    tokens = [["cat", "cat", "dog", "bird"], ["bird"], [], ["cow"], [None, "cow", "hen"], None, ["cow"] * 3 + ["dog"]]
+    docs = spark.createDataFrame([(i % 5, f"d{i}", t) for i, t in enumerate(tokens)], "doc_id long, name string, tokens array<string>")
+    got = {r.name: r.vector for r in pooling.mean_pool(docs, table, 2, 6, budget=budget).collect()}
+    # the two cats count with both vectors
+    want = {"d0": [7 / 5, 10 / 5], "d1": [0, 0], "d2": [0, 0], "d3": [9, 9], "d4": [9, 9], "d5": [0, 0], "d6": [30 / 4, 29 / 4]}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    single = pooling.mean_pool(docs, table, 2, 6, budget=budget, single=True)
+    assert dict(single.dtypes)["vector"] == "array<float>" and single.columns == ["doc_id", "name", "vector"]
 
 
 def test_pretrained_last_vector_wins_and_width_is_checked(spark):
@@ -91,7 +97,7 @@ def test_pretrained_last_vector_wins_and_width_is_checked(spark):
         wordvec.Pretrained(table, 3).fit(docs)
 
 
-def test_salted_join_equals_broadcast(spark, sf):
+def test_head_and_tail_join_equals_broadcast(spark, sf):
     from textyard.sources.tables import documents, with_tokens
 
     docs = with_tokens(documents(spark, sf))
@@ -142,9 +148,59 @@ def cosine(a, b):
     return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
 
 
+def brute_pairs(docs, window):
+    pairs = Counter()
+    for tokens in docs:
+        for i, x in enumerate(tokens):
+            for y in tokens[i + 1 : i + 1 + window]:
+                pairs[min(x, y), max(x, y)] += 1
+    return pairs
+
+
+def test_pairs_and_information_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "RUN", 7)  # pairs across the cuts stay
+    rng = np.random.default_rng(5)
+    texts = [[f"w{int(k)}" for k in rng.geometric(0.2, n)] for n in (0, 1, 2, 5, 7, 8, 40, 100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, tokens array<string>")
+    got = cooccur.word_pairs(docs, 3)
+    assert {(r.a, r.b): r.n for r in got.collect()} == brute_pairs(texts, 3)
+    tf = Counter(w for t in texts for w in t)
+    words = spark.createDataFrame([(w,) for w in tf if tf[w] > 1], "word string")
+    pairs = {p: n for p, n in brute_pairs(texts, 3).items() if tf[p[0]] > 1 and tf[p[1]] > 1}
+    seen = Counter()
+    for (a, b), n in pairs.items():
+        seen[a] += n
+        seen[b] += n
+    total = sum(seen.values())
+    want = {(a, b): math.log(n * (2 if a == b else 1) * total / (seen[a] * seen[b])) for (a, b), n in pairs.items()}
+    for size in (10, 10**12):
+        kept = cooccur.known_pairs(got, words, size)
+        have = {(r.a, r.b): r.pmi for r in cooccur.word_pmi(kept, size).collect()}
+        assert have.keys() == {p for p, v in want.items() if v > 0} and all(math.isclose(v, want[p]) for p, v in have.items())
+
+
+def test_projected_vectors_equal_brute_force(spark):
+    import hashlib
+
+    pmi = spark.createDataFrame([("a", "b", 3, 1.5), ("b", "b", 1, 0.25), ("b", "c", 2, 0.75)], "a string, b string, n long, pmi double")
+    words = spark.createDataFrame([(w,) for w in "abcd"], "word string")
+    dim = 130  # more than two md5 prefixes have bits
+    got = {r.word: r.fixed for r in cooccur.project(pmi, words, 100, dim, 7).collect()}
+
+    def signs(word):
+        return [2 * (int(hashlib.md5(f"{word}:7:{d // 60}".encode()).hexdigest()[:HEX_DIGITS], 16) >> d % 60 & 1) - 1 for d in range(dim)]
+
+    around = {"a": [("b", 1.5)], "b": [("a", 1.5), ("b", 0.25), ("c", 0.75)], "c": [("b", 0.75)], "d": []}
+    for word, contexts in around.items():
+        want = np.zeros(dim)
+        for other, value in contexts:
+            want += np.array(signs(other)) * value * cooccur.SCALE
+        assert got[word] == want.tolist()
+
+
 def test_trained_vectors_find_planted_synonyms_and_repeat(spark):
     docs = planted(spark, 6000)
-    vectorizer = wordvec.SkipGram(vector_size=16, epochs=10, shards=2)
+    vectorizer = wordvec.CoOccurrence(vector_size=64)
     first = {r.word: r.vector for r in vectorizer.fit(docs).vectors.collect()}
     second = {r.word: r.vector for r in vectorizer.fit(docs.repartition(5)).vectors.collect()}
     assert first == second
@@ -154,59 +210,62 @@ def test_trained_vectors_find_planted_synonyms_and_repeat(spark):
 
 def test_subword_training_places_a_misspelling(spark):
     docs = planted(spark)
-    model = subword.SubwordSkipGram(vector_size=16, epochs=4, buckets=512, shards=2).fit(docs)
+    model = subword.SubwordCoOccurrence(vector_size=64).fit(docs)
     words = spark.createDataFrame([("stone",), ("stones",), ("alpha",)], "word string")
     v = {r.word: r.vector for r in model.word_vectors(words).collect()}
     assert cosine(v["stone"], v["stones"]) > cosine(v["alpha"], v["stones"])
-    pooled = model.pool(corpus(spark, "stones neverseen", "")).orderBy("doc_id").collect()
-    assert any(pooled[0].vector) and not any(pooled[1].vector)
+    pooled = model.pool(corpus(spark, "stones neverseen", "", "qqq")).orderBy("doc_id").collect()
+    assert any(pooled[0].vector) and not any(pooled[1].vector) and not any(pooled[2].vector)
 
 
 def test_empty_vocabulary_gives_zero_vectors(spark):
     docs = corpus(spark, "each word once")
-    for vectorizer in (wordvec.SkipGram(vector_size=4), subword.SubwordSkipGram(vector_size=4, buckets=16)):
+    for vectorizer in (wordvec.CoOccurrence(vector_size=4), subword.SubwordCoOccurrence(vector_size=4, buckets=16)):
         row = vectorizer.fit(docs).pool(docs).first()
         assert row.vector == [0.0] * 4
 
 
-def test_long_texts_are_trained_in_pieces(spark, monkeypatch):
-    from textyard.operators import skipgram
-
-    monkeypatch.setattr(skipgram, "CHUNK_TOKENS", 3)
-    docs = corpus(spark, "a b c d e f g", "x").select(F.col("doc_id").alias("_row"), "tokens")
-    runs = skipgram.Trainer(4, 2, 1, 1)._runs(docs, 4).collect()
-    assert sorted((r._row, r._part, tuple(r.tokens)) for r in runs) == [
-        (0, 0, ("a", "b", "c")), (0, 1, ("d", "e", "f")), (0, 2, ("g",)), (1, 0, ("x",)),
-    ]
-
-
-def test_start_rows_depend_on_key_only():
-    a, b = start_rows(["i:x", "i:y"], 8, 1), start_rows(["i:y"], 8, 1)
-    assert np.array_equal(a[1], b[0]) and not np.array_equal(a[0], a[1])
-    assert np.abs(a).max() <= 1 / 8
-    assert round_lengths(10) == [1, 1, 2, 3, 3] and sum(round_lengths(7)) == 7 and round_lengths(1) == [1]
-
-
-def test_encoder(spark):
-    docs = spark.createDataFrame([(i, f"text number {i % 3}") for i in range(100)] + [(100, None)], "doc_id long, text string")
-    model = encode.Encoder("roberta", {"roberta": encode.hashed_encoder(8)}).fit(docs)
-    rows = {r.doc_id: tuple(r.features) for r in model.transform(docs).collect()}
-    assert model.dim == 8 and len(rows) == 101
-    assert rows[0] == rows[3] and rows[0] != rows[1] and not any(rows[100])
-    direct = encode.hashed_encoder(8)()(np.array(["text number 1"]))
-    assert np.allclose(rows[1], direct[0])
-    seen = []
-    encode.Encoder("my-own", resolve=lambda name, n: seen.append((name, n)) or encode.hashed_encoder(4)).fit(docs)
-    encode.Encoder("bert", resolve=lambda name, n: seen.append((name, n)) or encode.hashed_encoder(4)).fit(docs)
-    assert seen == [("my-own", 128), ("bert-base-uncased", 128)]
-    with pytest.raises(ValueError):
-        encode.Encoder("bert").fit(docs)
-
-
-def test_truncation():
-    short = encode.hashed_encoder(4, max_length=2)()
-    assert np.array_equal(short(np.array(["a b c"])), short(np.array(["a b d"])))
-    assert not np.array_equal(*encode.hashed_encoder(4, max_length=None)()(np.array(["a b c", "a b d"])))
+def brute_top(docs, k, min_df):
+    tf, df = Counter(), Counter()
+    for t in docs:
+        tf.update(t)
+        df.update(set(t))
+    rows = sorted(((-n, w) for w, n in tf.items() if df[w] >= min_df))[:k]
+    return {w: (-n, df[w]) for n, w in rows}
+
+
+@pytest.mark.parametrize("shape, least_width", [("zipf", 4), ("flat", 4), ("few", 16)])
+def test_heavy_hitters_are_exact(spark, shape, least_width):
+    rng = np.random.default_rng(len(shape))
+    draws = {"zipf": rng.zipf(1.3, 60_000) % 5_000, "flat": rng.permutation(np.repeat(np.arange(6_000), 3)), "few": rng.integers(0, 9, 4_000)}[shape]
+    docs = [[f"t{v}" for v in d] for d in np.array_split(draws, 300)]
+    rows = spark.createDataFrame([(d,) for d in docs] + [(None,), ([],), ([None],)], "terms array<string>").repartition(20)
+    for k, min_df in ((1, 1), (25, 2), (40, 3)):
+        found = frequent.frequent_terms(rows, "terms", k, min_df, width=least_width, largest=2_000)
+        want = brute_top(docs, k, min_df)
+        if found is None:
+            assert shape == "flat"
+            continue
+        top = terms.top_terms(found, k, min_df).collect()
+        assert {r.term: (r.tf, r.df) for r in top} == want
+    if shape == "flat":
+        assert frequent.frequent_terms(rows, "terms", 25, 1, least_width, 500) is None
+        # a wide enough summary holds everything and is exact again
+        assert terms.top_terms(frequent.frequent_terms(rows, "terms", 25, 1, 400, 10_000), 25).count() == 25
+
+
+def test_summaries_bound_their_error(spark):
+    rng = np.random.default_rng(3)
+    draws = rng.zipf(1.2, 40_000) % 3_000
+    docs = [[f"t{v}" for v in d] for d in np.array_split(draws, 100)]
+    true = Counter(w for d in docs for w in d)
+    rows = spark.createDataFrame([(d,) for d in docs], "terms array<string>").repartition(70)
+    found = frequent.summary(rows, "terms", 200).collect()
+    error = found[0].error
+    assert len(found) <= 200 and 0 < error <= 40_000 / 200
+    listed = {r.term: r.n for r in found if r.term is not None}
+    assert all(listed[w] <= true[w] <= listed[w] + error for w in listed)
+    assert all(n <= error for w, n in true.items() if w not in listed)
 
 
 def test_projection(spark, sf):
@@ -224,6 +283,28 @@ def test_projection(spark, sf):
     assert -1 <= project.class_separation(rows) <= 1
 
 
+def test_covariance_and_axes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6)) @ np.diag([3, 2.9, 1, 1, 0.5, 0]) + 1e6  # large means would spoil plain sums
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0])], "doc_id long, vector array<double>")
+    cells = project.covariance(rows.repartition(9))
+    got = np.zeros((6, 6))
+    for r in cells.collect():
+        got[r.i, r.j] = got[r.j, r.i] = r.cov
+    want = np.cov(x.T)
+    assert np.allclose(got, want, atol=1e-6)
+    axes = project.principal_axes(cells, 3, squarings=16).orderBy("component").collect()
+    values, vectors = np.linalg.eigh(want)
+    for k, r in enumerate(axes):
+        v = vectors[:, -1 - k] * np.sign(vectors[np.abs(vectors[:, -1 - k]).argmax(), -1 - k])
+        assert np.allclose(r.axis, v, atol=1e-4) and np.isclose(r.variance, values[-1 - k]) and np.isclose(r.share, values[-1 - k] / values.sum())
+    whole = rows.where("doc_id < 900")
+    placed = project.on_axes(whole, project.principal_axes(cells, 2)).orderBy("doc_id").collect()
+    assert np.allclose([r.places[0] for r in placed], (x - x.mean(0)) @ np.array(axes[0].axis), atol=1e-2)
+    still = spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.0, 2.0])], "doc_id long, vector array<double>")
+    assert [(r.variance, r.share) for r in project.principal_axes(project.covariance(still)).collect()] == [(0.0, 0.0)] * 2
+
+
 def test_word_counts(spark):
     got = {r.word: r.tf for r in wordvec.word_counts(corpus(spark, "a b a", "b c"), 2).collect()}
     assert got == {k: v for k, v in Counter("abab").items()}
@@ -235,11 +316,11 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     model.save(str(tmp_path / "tfidf"))
     again = terms.TermModel.load(spark, str(tmp_path / "tfidf"))
     assert again.transform(docs).collect() == model.transform(docs).collect()
-    model = subword.SubwordSkipGram(vector_size=4, epochs=1, buckets=32).fit(docs)
+    model = subword.SubwordCoOccurrence(vector_size=4, buckets=32).fit(docs)
     model.save(str(tmp_path / "subword"))
     again = subword.SubwordModel.load(spark, str(tmp_path / "subword"), n_buckets=32)
     assert again.pool(docs).orderBy("doc_id").collect() == model.pool(docs).orderBy("doc_id").collect()
-    model = wordvec.SkipGram(vector_size=4, epochs=1).fit(docs)
+    model = wordvec.CoOccurrence(vector_size=4).fit(docs)
     model.save(str(tmp_path / "words"))
     again = wordvec.WordVectorModel.load(spark, str(tmp_path / "words"))
     assert (again.dim, again.n_vectors) == (4, 3)

@@ -22,6 +22,8 @@ class Model(ABC):
 
 class Vectorizer(ABC):
     name: str
+    # whether it reads ``text`` besides ``tokens``
+    reads_text = False
 
     @abstractmethod
     def fit(self, corpus: DataFrame) -> Model: ...

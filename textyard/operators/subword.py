@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textyard.functions import text as tx
 from textyard.functions.hashing import BUCKET_FUNCTIONS
+from textyard.operators import cooccur
 from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
-from textyard.operators.skipgram import Trainer
-from textyard.operators.wordvec import word_counts
+from textyard.operators.wordvec import trained_words
 from textyard.session import cut_lineage, fan_out
 from textyard.sources.tables import token_rows, with_tokens
 
 SEED = 42
-BUCKETS = 2**15
+# Fixed value: the number of buckets of the public subword trainer.
+BUCKETS = 2_000_000
 
 
 def gram_buckets(word: str, buckets: int, low: int = 3, high: int = 6, hashing: str = "md5") -> Column:
@@ -32,7 +33,7 @@ def subword_vectors(
     n_buckets: int,
     dim: int,
     known: DataFrame | None = None,
-    n_known: int = 0,
+    n_vectors: int | None = None,
     low: int = 3,
     high: int = 6,
     hashing: str = "md5",
@@ -42,14 +43,18 @@ def subword_vectors(
 
     A word is the mean of its n-grams' bucket vectors ``(bucket, vector)`` and, if it is in
     ``known`` ``(word, vector)``, of its own vector. That is mean pooling over the parts of a
-    word instead of the words of a document.
+    word instead of the words of a document. ``n_vectors`` is the number of vectors in both tables, if it is known;
+    buckets without a vector are left out.
     """
+    if n_vectors is None:
+        n_vectors = buckets.count() + (0 if known is None else known.count())
     parts = F.transform(gram_buckets("word", n_buckets, low, high, hashing), lambda b: F.concat(F.lit("b"), b))
     parts = F.concat(parts, F.array(F.concat(F.lit("w"), "word")))
-    table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), "vector")
+    narrow = F.col("vector").cast("array<float>").alias("vector")
+    table = buckets.select(F.concat(F.lit("b"), "bucket").alias("word"), narrow)
     if known is not None:
-        table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), "vector"))
-    return mean_pool(fan_out(words).select("word", parts.alias("tokens")), table, dim, n_buckets + n_known, "word", single=single)
+        table = table.unionByName(known.select(F.concat(F.lit("w"), "word").alias("word"), narrow))
+    return mean_pool(fan_out(words).select("word", parts.alias("tokens")), table, dim, n_vectors, "word", single=single, value_bytes=4)
 
 
 @dataclass
@@ -60,6 +65,7 @@ class SubwordModel(Model):
     words: DataFrame
     buckets: DataFrame
     n_words: int
+    n_vectors: int
     n_buckets: int
     dim: int
     low: int
@@ -78,11 +84,11 @@ class SubwordModel(Model):
         """The n-gram settings must be those the model was trained with."""
         words, buckets = spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/buckets")
         n, dim = words.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-        return cls(name, words, buckets, n, n_buckets, dim or 0, low, high, hashing)
+        return cls(name, words, buckets, n, buckets.count(), n_buckets, dim or 0, low, high, hashing)
 
     def word_vectors(self, words: DataFrame) -> DataFrame:
         return subword_vectors(
-            words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words, self.low, self.high, self.hashing, single=True
+            words, self.buckets, self.n_buckets, self.dim, self.words, self.n_words + self.n_vectors, self.low, self.high, self.hashing, single=True
         )
 
     def pool(self, corpus: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -96,36 +102,33 @@ class SubwordModel(Model):
         return self.pool(corpus, row_id).withColumn("features", array_to_vector("vector")).drop("vector")
 
 
+def bucket_vectors(words: DataFrame, buckets: int, dim: int, low: int, high: int, hashing: str) -> DataFrame:
+    """``(bucket, vector)``: the mean over the n-grams in a bucket of the vectors ``(word, fixed)`` of their words."""
+    grams = fan_out(words).select("fixed", F.explode(gram_buckets("word", buckets, low, high, hashing)).alias("bucket"))
+    one = F.lit(1).cast("bigint")
+    sums = cooccur.sum_columns(grams, ["bucket"], [one, *[F.get("fixed", F.lit(i)) for i in range(dim)]])
+    return sums.select("bucket", cooccur.unfix(F.slice("sums", 2, dim), dim, F.col("sums")[0]).alias("vector"))
+
+
 @dataclass
-class SubwordSkipGram(Vectorizer):
-    """Skip-gram where a word is the mean of its own row and its n-grams' rows."""
+class SubwordCoOccurrence(Vectorizer):
+    """Co-occurrence vectors shared by spelling: a word is the mean of its own vector and its n-grams'.
+
+    An n-gram's vector is the mean over the words it occurs in, so a word never seen takes after those spelled like it.
+    """
 
     vector_size: int = 100
     window: int = 5
     min_count: int = 2
     min_n: int = 3
     max_n: int = 6
-    epochs: int = 10
     buckets: int = BUCKETS
     hashing: str = "md5"
     seed: int = SEED
-    shards: int | None = None
     name: str = "fasttext"
 
-    def fit(self, corpus: DataFrame, row_id: str = "doc_id") -> SubwordModel:
-        corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
-        total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        grams = gram_buckets("word", self.buckets, self.min_n, self.max_n, self.hashing)
-        frequent = fan_out(word_counts(corpus, self.min_count))
-        vocabulary = cut_lineage(frequent.select("word", "tf", grams.alias("grams")))
-        n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
-        if n_words:
-            trainer = Trainer(self.vector_size, self.window, self.epochs, self.seed, self.shards)
-            params = trainer.fit(corpus, vocabulary, total, known)
-        else:
-            params = corpus.sparkSession.createDataFrame([], "kind string, key string, vector array<double>")
-        words = params.filter(F.col("kind") == "i").select(F.col("key").alias("word"), "vector")
-        table = params.filter(F.col("kind") == "b").select(F.col("key").cast("bigint").alias("bucket"), "vector")
-        return SubwordModel(
-            self.name, words, table, n_words, self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing
-        )
+    def fit(self, corpus: DataFrame) -> SubwordModel:
+        own, n = trained_words(corpus, self.vector_size, self.window, self.min_count, self.seed)
+        table = cut_lineage(bucket_vectors(own, self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing))
+        words = own.select("word", cooccur.unfix(F.col("fixed"), self.vector_size).alias("vector"))
+        return SubwordModel(self.name, words, table, n, table.count(), self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, typ
 
 from textyard.functions import text as tx
 from textyard.operators.contract import Model, Vectorizer
+from textyard.operators.frequent import frequent_terms
 from textyard.sources.tables import with_tokens
 
 MAX_FEATURES = 10_000
@@ -176,7 +177,12 @@ class BagOfWords(Vectorizer):
     min_df: int = 1
 
     def vocabulary_frame(self, corpus: DataFrame) -> DataFrame:
-        return top_terms(term_stats(corpus, self.ngrams), self.max_features, self.min_df)
+        """The vocabulary; only terms that may belong to it are shuffled, all of them where counts are too flat for that."""
+        rows = with_tokens(corpus).select(tx.ngrams("tokens", *self.ngrams).alias("terms"))
+        stats = frequent_terms(rows, "terms", self.max_features, self.min_df)
+        if stats is None:
+            stats = term_stats(corpus, self.ngrams)
+        return top_terms(stats, self.max_features, self.min_df)
 
     def fit(self, corpus: DataFrame) -> TermModel:
         return self._fit(corpus, tfidf=False)

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textyard.operators import cooccur
 from textyard.operators.contract import Model, Vectorizer
 from textyard.operators.pooling import mean_pool
-from textyard.operators.skipgram import Trainer
 from textyard.session import cut_lineage
 from textyard.sources.tables import token_rows, with_tokens
 from textyard.sources.vectors import dedupe_last, read_vector_text
@@ -48,34 +48,33 @@ class WordVectorModel(Model):
         return cls(name, table, dim or 0, n)
 
 
+def trained_words(corpus: DataFrame, dim: int, window: int, min_count: int, seed: int) -> tuple[DataFrame, int]:
+    """``(word, fixed)`` of the words seen ``min_count`` times, from what stands beside them, and their number."""
+    corpus = with_tokens(corpus).select("tokens")
+    vocabulary = cut_lineage(word_counts(corpus, min_count).select("word"))
+    n, size = vocabulary.agg(F.count(F.lit(1)), F.sum(F.octet_length("word") + 64)).first()
+    pairs = cut_lineage(cooccur.known_pairs(cooccur.word_pairs(corpus, window), vocabulary, size or 0))
+    pmi = cooccur.word_pmi(pairs, size or 0)
+    return cut_lineage(cooccur.project(pmi, vocabulary, size or 0, dim, seed)), n
+
+
 @dataclass
-class SkipGram(Vectorizer):
-    """Skip-gram word vectors with negative sampling, trained on the corpus.
+class CoOccurrence(Vectorizer):
+    """Word vectors from the words around: positive pointwise mutual information, projected on random signs.
 
-    MLlib's Word2Vec keeps all vectors on the driver and in every task; the sharded
-    trainer does not, so the vocabulary may grow with the data.
+    Counts, joins and whole-number sums; the same vectors on any number of cores and in any order of the rows.
     """
 
     vector_size: int = 100
     window: int = 5
     min_count: int = 2
-    epochs: int = 10
     seed: int = SEED
-    shards: int | None = None
     name: str = "word2vec"
 
-    def fit(self, corpus: DataFrame, row_id: str = "doc_id") -> WordVectorModel:
-        corpus = with_tokens(corpus).select(F.col(row_id).alias("_row"), "tokens")
-        total = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        no_grams = F.array().cast("array<bigint>").alias("grams")
-        vocabulary = cut_lineage(word_counts(corpus, self.min_count).select("word", "tf", no_grams))
-        n_words, known = vocabulary.agg(F.count(F.lit(1)), F.sum("tf")).first()
-        if not n_words:
-            empty = corpus.sparkSession.createDataFrame([], "word string, vector array<double>")
-            return WordVectorModel(self.name, empty, self.vector_size, 0)
-        trainer = Trainer(self.vector_size, self.window, self.epochs, self.seed, self.shards)
-        params = trainer.fit(corpus, vocabulary, total, known)
-        return WordVectorModel(self.name, params.select(F.col("key").alias("word"), "vector"), self.vector_size, n_words)
+    def fit(self, corpus: DataFrame) -> WordVectorModel:
+        words, n = trained_words(corpus, self.vector_size, self.window, self.min_count, self.seed)
+        vectors = words.select("word", cooccur.unfix(F.col("fixed"), self.vector_size).alias("vector"))
+        return WordVectorModel(self.name, vectors, self.vector_size, n)
 
 
 @dataclass

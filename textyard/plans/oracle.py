@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textyard.functions.stopwords import ENGLISH
-from textyard.plans.queries import CAP_PER_SOURCE, INSULT, KNOWN_MIN_COUNT, PAGE_SPAN, RULES
+from textyard.plans.queries import CAP_PER_SOURCE, INSULT, KNOWN_MIN_COUNT, PAGE_SPAN, REVIEW_TARGET, RULES
 
 STOP = ", ".join(f"'{w}'" for w in ENGLISH)
 LABELLED = (
@@ -59,6 +59,85 @@ pred AS (SELECT doc_id, label, CASE WHEN regexp_matches(lower(text), '\b(idiot|m
   OR {_int("doc_id || ':noise'", 1)} = 0 THEN 1 ELSE 0 END AS prediction FROM docs)"""
 
 
+DIMS, SCALE = 100, 65536
+_near = " UNION ALL ".join(
+    f"SELECT unnest(list_transform(range(1, len(tokens) - {d} + 1), lambda i: {{'x': tokens[i], 'y': tokens[i + {d}]}}), recursive := true) FROM toks WHERE len(tokens) > {d}"
+    for d in range(1, 6)
+)
+PAIRS = f"""
+vocab AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 2),
+pairs AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM ({_near})
+  WHERE x IN (SELECT word FROM vocab) AND y IN (SELECT word FROM vocab) GROUP BY ALL)"""
+PMI = """
+seen AS (SELECT word, sum(n)::DOUBLE AS m FROM (SELECT a AS word, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY word),
+total AS (SELECT sum(m) AS t FROM seen),
+pmi AS (SELECT a, b, n, ln((n * CASE WHEN a = b THEN 2 ELSE 1 END)::DOUBLE * t / (x.m * y.m)) AS pmi
+  FROM pairs JOIN seen x ON x.word = a JOIN seen y ON y.word = b, total)"""
+_signs = ", ".join(f"2 * sum(CASE WHEN (b{d // 60} >> {d % 60}) & 1 = 1 THEN q ELSE 0 END) - sum(q)" for d in range(DIMS))
+VECTORS = f"""
+bits AS (SELECT word, {_int("word || ':42:0'")} AS b0, {_int("word || ':42:1'")} AS b1 FROM vocab),
+sides AS (SELECT a AS word, b AS context, CAST(round(pmi * {SCALE}) AS BIGINT) AS q FROM pmi WHERE pmi > 0
+  UNION ALL SELECT b, a, CAST(round(pmi * {SCALE}) AS BIGINT) FROM pmi WHERE pmi > 0 AND a <> b),
+sums AS (SELECT sides.word, list_transform([{_signs}], lambda x: CAST(x AS DOUBLE) / ({SCALE} * sqrt({DIMS}))) AS v
+  FROM sides JOIN bits ON bits.word = context GROUP BY sides.word),
+vectors AS (SELECT vocab.word, coalesce(v, list_transform(range({DIMS}), lambda i: CAST(0 AS DOUBLE))) AS v FROM vocab LEFT JOIN sums USING (word))"""
+
+
+def _mean(weight: str, vector: str = "v") -> str:
+    """The weighted mean of vectors in a group."""
+    return "[" + ", ".join(f"sum({weight} * {vector}[{d}]) / sum({weight})" for d in range(1, DIMS + 1)) + "]"
+
+
+def _digest(key: str, source: str) -> str:
+    return f"""SELECT {key}, len(v) AS n_dims, {_rounded('sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS norm, {_rounded('v[1]')} AS first,
+  {_rounded('v[-1]')} AS last, {_rounded('list_sum(v)')} AS total, {_rounded('list_sum(list_transform(v, lambda x, i: x * i))')} AS ramp FROM {source}"""
+
+
+def _subwords(char_grams: str) -> str:
+    """Bucket vectors of the vocabulary's n-grams, and the vector ``v`` of every word of the documents."""
+    return f"""
+distinct_words AS (SELECT DISTINCT word, '<' || word || '>' AS m FROM words),
+pieces AS (SELECT word, {_int('gram')} % 2000000 AS bucket FROM (SELECT word, unnest(flatten([{char_grams}])) AS gram FROM distinct_words)),
+buckets AS (SELECT bucket, {_mean('1')} AS v FROM pieces JOIN vectors USING (word) GROUP BY bucket),
+parts AS (SELECT word, v::FLOAT[]::DOUBLE[] AS v FROM pieces JOIN buckets USING (bucket) UNION ALL SELECT word, v::FLOAT[]::DOUBLE[] FROM vectors),
+met AS (SELECT word, {_mean('1')}::FLOAT[]::DOUBLE[] AS v FROM parts GROUP BY word),
+built AS (SELECT word, coalesce(v, list_transform(range({DIMS}), lambda i: CAST(0 AS DOUBLE))) AS v FROM distinct_words LEFT JOIN met USING (word))"""
+
+
+def _axes(toks: str) -> str:
+    """CTEs up to ``axes`` (component, variance, axis) and ``centred`` (doc_id, label, list) of the equal-class subset."""
+    dot = "list_dot_product"
+
+    def power(name: str, source: str) -> str:
+        return f"""
+{name}_p AS (SELECT 0 AS step, m FROM {source} UNION ALL
+  SELECT step + 1, list_transform(s, lambda r: list_transform(r, lambda x: x / top))
+  FROM (SELECT step, s, list_max(list_transform(s, lambda r: list_max(list_transform(r, lambda x: abs(x))))) AS top
+    FROM (SELECT step, list_transform(m, lambda r: list_transform(m, lambda c: {dot}(r, c))) AS s FROM {name}_p WHERE step < 12))),
+{name}_d AS (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}_p WHERE step = 12),
+{name}_c AS (SELECT m[list_position(d, list_max(d))] AS v FROM {name}_d),
+{name}_a AS (SELECT list_transform(v, lambda x: x / sqrt({dot}(v, v))) AS axis FROM {name}_c),
+{name} AS (SELECT axis, m, {dot}(list_transform(m, lambda r: {dot}(r, axis)), axis) AS variance FROM {name}_a, {source})"""
+
+    return f"""WITH RECURSIVE {LABELLED}, {toks}, {WORDS}, {KNOWN},
+sizes AS (SELECT min(c) AS smallest FROM (SELECT count(*) AS c FROM docs GROUP BY label)),
+subset AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rn FROM docs)
+  WHERE rn <= (SELECT smallest FROM sizes)),
+width AS (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i),
+means AS (SELECT doc_id, i, sum(cnt * CAST(vector[i] AS DOUBLE)) / sum(cnt) AS v
+  FROM counts JOIN subset USING (doc_id) JOIN known USING (word), width GROUP BY doc_id, i),
+cells AS (SELECT s.doc_id, s.label, i, coalesce(v, 0) AS v FROM subset s CROSS JOIN width LEFT JOIN means USING (doc_id, i)),
+covs AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM cells a JOIN cells b USING (doc_id) GROUP BY a.i, b.i),
+lines AS (SELECT i, list(c ORDER BY j) AS r FROM covs GROUP BY i),
+matrix AS (SELECT list(r ORDER BY i) AS m FROM lines),
+trace AS (SELECT sum(c) AS total FROM covs WHERE i = j),
+{power('one', 'matrix')},
+rest AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - variance * axis[i] * axis[j])) AS m FROM one),
+{power('two', 'rest')},
+centred AS (SELECT doc_id, label, list(v - mean ORDER BY i) AS v
+  FROM cells JOIN (SELECT i, avg(v) AS mean FROM cells GROUP BY i) USING (i) GROUP BY doc_id, label)"""
+
+
 def _scores(by: str = "") -> str:
     """CTEs ``cls`` (per class) and ``sc`` (summary) over ``pred``; ``by`` ends in a comma."""
     group = f"GROUP BY {by[:-2]}" if by else ""
@@ -126,11 +205,10 @@ def oracle_sql() -> dict[str, str]:
     toks, docs = _tokens(), f"WITH {LABELLED}"
     results = _rule_results()
     order = ", ".join(f"('{k}', '{n}', '{f}', {o})" for k, n, f, o in RULES)
-    half = "(SELECT least(2000 // 2, smallest) FROM sizes)"
     char_grams = ", ".join(
         f"list_transform(range(1, length(m) - {n} + 2), lambda i: substr(m, i, {n}))" for n in (3, 4, 5, 6)
     )
-    return {
+    twins = {
         "scan_labelled": f"{docs} SELECT doc_id, text, label FROM docs",
         "vector_table": """
 SELECT 'v' || vec_id AS word, i - 1 AS dim, round(CAST(embedding[i] AS DOUBLE), 6) AS value
@@ -142,6 +220,12 @@ FROM conversations) WHERE rn = 1""",
 paged AS (SELECT source, doc_id // {PAGE_SPAN} AS page, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, label FROM docs)
 SELECT source, page, text, label FROM paged
 WHERE {_int("source || ':' || page", 1)} > 0 AND length(text) BETWEEN 20 AND 512""",
+        "reviews_until": rf"""{docs},
+paged AS (SELECT source, doc_id // {PAGE_SPAN} AS page, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, label FROM docs),
+ends AS (SELECT source, min(page) AS stop FROM paged WHERE {_int("source || ':' || page", 1)} = 0 GROUP BY source)
+SELECT source, text, label FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page, doc_id) AS rn
+  FROM paged LEFT JOIN ends USING (source) WHERE (stop IS NULL OR page < stop) AND length(text) BETWEEN 20 AND 512)
+WHERE rn <= {REVIEW_TARGET}""",
         "binarise": """
 SELECT doc_id, text, CASE WHEN coalesce(toxic, 0) + coalesce(1 - quality, 0) > 0 THEN 1 ELSE 0 END AS label
 FROM documents JOIN labels USING (doc_id)""",
@@ -162,7 +246,12 @@ SELECT doc_id, label, CAST(0 AS BIGINT) AS draw_no FROM docs WHERE label = 0
 UNION ALL SELECT doc_id, 1, draw_no FROM picked""",
         "balance_min": f"""{_balanced('smallest')}
 SELECT doc_id, label FROM drawn WHERE rn <= (SELECT least(smallest, 20000) FROM sizes)""",
-        "projection_subset": f"{_balanced('half')} SELECT doc_id, label FROM drawn WHERE rn <= {half}",
+        "projection_subset": f"{_balanced('half')} SELECT doc_id, label FROM drawn WHERE rn <= (SELECT smallest FROM sizes)",
+        "balance_and_split": f"""{_balanced('smallest')},
+n AS (SELECT least(smallest, 20000) AS n FROM sizes),
+test AS (SELECT n, ceil(round(0.2 * 2 * n, 9)) AS t FROM n)
+SELECT doc_id, label, CASE WHEN rn <= floor(t / 2) + CASE WHEN label = 0 THEN t % 2 ELSE 0 END THEN 'test' ELSE 'train' END AS split
+FROM drawn, test WHERE rn <= n""",
         "stratified_split": _quota_split(),
         "cap_per_group": f"""
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
@@ -208,6 +297,27 @@ pooled AS (SELECT doc_id, i, sum(cnt * CAST(vector[i] AS DOUBLE)) / sum(cnt) AS
   FROM counts JOIN known USING (word), width GROUP BY doc_id, i)
 SELECT d.doc_id, i - 1 AS dim, {_rounded('coalesce(v, 0)')} AS value
 FROM documents d CROSS JOIN width LEFT JOIN pooled USING (doc_id, i)""",
+        "mean_pool_join": f"""WITH {toks}, {WORDS}, {KNOWN},
+width AS (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i),
+pooled AS (SELECT doc_id, i, sum(cnt * CAST(vector[i] AS DOUBLE)) / sum(cnt) AS v
+  FROM counts JOIN known USING (word), width GROUP BY doc_id, i)
+SELECT d.doc_id, i - 1 AS dim, {_rounded('coalesce(v, 0)')} AS value
+FROM documents d CROSS JOIN width LEFT JOIN pooled USING (doc_id, i)""",
+        "word_pairs": f"WITH {toks}, {WORDS}, {PAIRS} SELECT a, b, n FROM pairs",
+        "word_pmi": f"WITH {toks}, {WORDS}, {PAIRS}, {PMI} SELECT a, b, round(pmi, 6) AS pmi FROM pmi WHERE pmi > 0",
+        "word2vec_vectors": f"WITH {toks}, {WORDS}, {PAIRS}, {PMI}, {VECTORS} {_digest('word', 'vectors')}",
+        "word2vec_docs": f"""WITH {toks}, {WORDS}, {PAIRS}, {PMI}, {VECTORS},
+counts AS (SELECT doc_id, word, count(*) AS cnt FROM words GROUP BY doc_id, word),
+pooled AS (SELECT doc_id, {_mean('cnt')} AS v FROM counts JOIN vectors USING (word) GROUP BY doc_id),
+each AS (SELECT doc_id, coalesce(v, list_transform(range({DIMS}), lambda i: CAST(0 AS DOUBLE))) AS v FROM documents LEFT JOIN pooled USING (doc_id))
+{_digest('doc_id', 'each')}""",
+        "fasttext_vectors": f"""WITH {toks}, {WORDS}, {PAIRS}, {PMI}, {VECTORS}, {_subwords(char_grams)},
+each AS (SELECT * FROM built WHERE word IN (SELECT word FROM vocab)) {_digest('word', 'each')}""",
+        "fasttext_docs": f"""WITH {toks}, {WORDS}, {PAIRS}, {PMI}, {VECTORS}, {_subwords(char_grams)},
+counts AS (SELECT doc_id, word, count(*) AS cnt FROM words GROUP BY doc_id, word),
+pooled AS (SELECT doc_id, {_mean('cnt')} AS v FROM counts JOIN built USING (word) GROUP BY doc_id),
+each AS (SELECT doc_id, coalesce(v, list_transform(range({DIMS}), lambda i: CAST(0 AS DOUBLE))) AS v FROM documents LEFT JOIN pooled USING (doc_id))
+{_digest('doc_id', 'each')}""",
         "subword_vectors": f"""WITH {toks}, {WORDS}, {KNOWN},
 marked AS (SELECT DISTINCT word, '<' || word || '>' AS m FROM words),
 pieces AS (SELECT word, unnest(flatten([{char_grams}])) AS gram FROM marked),
@@ -228,6 +338,21 @@ sums AS (SELECT doc_id, sum(cnt * coef) AS s FROM counts JOIN coefs USING (idx)
 scored AS (SELECT doc_id, label, coalesce(s, 0) + ln((n1 + 1) / (n0 + 1)) AS score
   FROM docs LEFT JOIN sums USING (doc_id), sizes)
 SELECT doc_id, label, round(score, 4) AS score, CAST(round(score, 6) > 0 AS INTEGER) AS prediction FROM scored""",
+        "lr_newton": f"""WITH RECURSIVE {LABELLED},
+sizes AS (SELECT label, (SELECT count(*) FROM docs) / ((SELECT count(DISTINCT label) FROM docs) * count(*)) AS w FROM docs GROUP BY label),
+x AS (SELECT label AS y, w, ln(n_chars + 1.0) / 10 AS f, CAST(CAST(regexp_matches(lower(text), '{INSULT}') AS INTEGER) AS DOUBLE) AS g FROM docs JOIN sizes USING (label)),
+newton AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d
+  UNION ALL
+  SELECT k + 1, b - (gf * (gg * oo - go * go) - ug * (fg * oo - go * fo) + uo * (fg * go - gg * fo)) / det,
+    c - (ff * (ug * oo - uo * go) - fg * (gf * oo - uo * fo) + fo * (gf * go - ug * fo)) / det,
+    d - (ff * (gg * uo - go * ug) - fg * (fg * uo - go * gf) + fo * (fg * ug - gg * gf)) / det
+  FROM (SELECT *, ff * (gg * oo - go * go) - fg * (fg * oo - go * fo) + fo * (fg * go - gg * fo) AS det FROM (
+    SELECT k, b, c, d, sum(h * f * f) + 1 AS ff, sum(h * f * g) AS fg, sum(h * f) AS fo, sum(h * g * g) + 1 AS gg, sum(h * g) AS go, sum(h) AS oo,
+      sum(e * f) + b AS gf, sum(e * g) + c AS ug, sum(e) AS uo
+    FROM (SELECT k, b, c, d, f, g, w * p * (1 - p) AS h, w * (p - y) AS e FROM (
+      SELECT *, 1 / (1 + exp(-(b * f + c * g + d))) AS p FROM newton, x WHERE k < 12)) GROUP BY k, b, c, d)))
+SELECT CAST(0 AS BIGINT) AS idx, round(b, 6) AS coef FROM newton WHERE k = 12
+UNION ALL SELECT 1, round(c, 6) FROM newton WHERE k = 12 UNION ALL SELECT 2, round(d, 6) FROM newton WHERE k = 12""",
         "confusion": f"""{docs}, {PREDICTED}
 SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction""",
         "metrics": f"{docs}, {PREDICTED}, {_scores()} SELECT * FROM sc",
@@ -265,6 +390,11 @@ SELECT dataset, vectorizer, f1_macro,
         "best_method": f"""{results}
 SELECT dataset, vectorizer, f1_macro FROM (SELECT *, row_number() OVER (PARTITION BY dataset
   ORDER BY f1_macro DESC, vectorizer) AS rn FROM results) WHERE rn = 1""",
+        "project_variance": f"""{_axes(toks)}
+SELECT CAST(1 AS BIGINT) AS component, round(variance, 6) AS variance, round(variance / total, 6) AS share FROM one, trace
+UNION ALL SELECT 2, round(variance, 6), round(variance / total, 6) FROM two, trace""",
+        "project_documents": f"""{_axes(toks)}
+SELECT doc_id, label, {_rounded('list_dot_product(v, one.axis)')} AS x, {_rounded('list_dot_product(v, two.axis)')} AS y FROM centred, one, two""",
         "class_centroids": """
 SELECT label, i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS value
 FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) GROUP BY label, i""",
@@ -279,3 +409,6 @@ near AS (SELECT vec_id, min(total / n) AS b FROM means WHERE label <> other GROU
 SELECT count(*) AS n_rows, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
 FROM own JOIN near USING (vec_id)""",
     }
+    for name in ("clean_text", "tokens", "ngrams"):
+        twins[f"sql_{name}"] = twins[name]
+    return twins

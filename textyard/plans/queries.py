@@ -8,10 +8,9 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textyard.functions import text as tx
+from textyard.functions import sql as sql_functions, text as tx
 from textyard.functions.hashing import md5_bucket, md5_int
-from textyard.operators import classify, encode, metrics, pooling, prepare, project, reports, sampling, subword, terms, wordvec
-from textyard.operators.contract import Model, Vectorizer
+from textyard.operators import classify, cooccur, metrics, pooling, prepare, project, reports, sampling, subword, terms, wordvec
 from textyard.plans import benchmark
 from textyard.session import cut_lineage, fan_out
 from textyard.sources import results as res, reviews, vectors
@@ -23,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KNOWN_MIN_COUNT = 5
 CAP_PER_SOURCE = 5
 PAGE_SPAN = 100
+REVIEW_TARGET = 3
 
 # Methods of the report queries: fixed predictors whose results the SQL twins can compute too. Key, display name,
 # family, place in the tables. None predicts with "neighbours", so that a missing result shows.
@@ -65,14 +65,14 @@ def dedupe_last(spark, folder):
 
 
 def review_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as nested review pages in JSON text, at most PAGE_SPAN reviews a page."""
+    """Documents as nested review pages in JSON text, at most PAGE_SPAN reviews a page, in the order of their ids."""
     docs = labelled(spark, folder, "text", "source").withColumn("page", F.expr(f"doc_id div {PAGE_SPAN}"))
     review = F.struct(
-        F.concat(F.lit(" \t"), "text", F.lit("\n")).alias("review"),
+        "doc_id", F.concat(F.lit(" \t"), "text", F.lit("\n")).alias("review"),
         F.when(F.col("label") == 1, F.lit(True)).alias("voted_up"),
     )
     name = F.concat_ws(":", "source", "page")
-    pages = docs.groupBy("source", "page").agg(F.collect_list(review).alias("reviews"))
+    pages = docs.groupBy("source", "page").agg(F.array_sort(F.collect_list(review)).alias("reviews"))
     page = F.struct((md5_int(name, 1) > 0).cast("int").alias("success"), name.alias("cursor"), "reviews")
     return pages.select("source", "page", F.to_json(page).alias("body"))
 
@@ -83,6 +83,12 @@ def reviews_flatten(spark, folder):
     return reviews.flatten_reviews(pages.select("source", "page", "p.*"), "source", "page")
 
 
+@query
+def reviews_until(spark, folder):
+    pages = review_pages(spark, folder).select("source", "page", reviews.parse_page(F.col("body")).alias("p"))
+    return reviews.take_reviews(pages.select("source", "page", "p.*"), REVIEW_TARGET)
+
+
 # Preparation -----------------------------------------------------------------------
 
 
@@ -147,6 +153,11 @@ def projection_subset(spark, folder):
     return sampling.projection_subset(labelled(spark, folder))
 
 
+@query
+def balance_and_split(spark, folder):
+    return sampling.balance_and_split(labelled(spark, folder))
+
+
 @query
 def stratified_split(spark, folder):
     return sampling.stratified_split(labelled(spark, folder))
@@ -220,6 +231,31 @@ def char_ngrams(spark, folder):
     return fan_out(words).select("word", F.array_join(tx.char_ngrams("word"), "|").alias("grams"))
 
 
+def in_sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """A statement with the cleaner's SQL functions over the documents."""
+    sql_functions.register(spark)
+    return spark.sql(text, documents=documents(spark, folder))
+
+
+@query
+def sql_clean_text(spark, folder):
+    return in_sql(spark, folder, "SELECT doc_id, clean_text(text) AS clean FROM {documents}")
+
+
+@query
+def sql_tokens(spark, folder):
+    return in_sql(spark, folder, """
+        SELECT doc_id, CAST(size(t) AS BIGINT) AS n_tokens, array_join(t, '|') AS tokens
+        FROM (SELECT doc_id, text_tokens(text) AS t FROM {documents})""")
+
+
+@query
+def sql_ngrams(spark, folder):
+    return in_sql(spark, folder, """
+        SELECT doc_id, CAST(size(g) AS BIGINT) AS n_grams, array_join(g, '|') AS grams
+        FROM (SELECT doc_id, text_bigrams(text_tokens(text)) AS g FROM {documents})""")
+
+
 # Bag of words and TF-IDF ------------------------------------------------------------
 
 
@@ -315,27 +351,60 @@ def mean_pool(spark, folder):
     return pooling.long_form(model.pool(docs))
 
 
-_FITTED: dict[tuple, Model] = {}
+@query
+def mean_pool_join(spark, folder):
+    """The same pooling with room for a third of the word vectors, so that the rest is joined."""
+    docs = token_frame(spark, folder)
+    known, n, dim = word_table(spark, folder, docs)
+    pooled = pooling.mean_pool(docs, known.select("word", "vector"), dim, n, budget=pooling.table_bytes(n, dim) // 3)
+    return pooling.long_form(pooled)
+
+
+def vocabulary_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Pairs of words seen twice or more, and the size of the words."""
+    docs = token_frame(spark, folder)
+    words = cut_lineage(wordvec.word_counts(docs).select("word"))
+    size = words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    return cut_lineage(cooccur.known_pairs(cooccur.word_pairs(docs), words, size)), size
+
+
+@query
+def word_pairs(spark, folder):
+    return vocabulary_pairs(spark, folder)[0]
+
+
+@query
+def word_pmi(spark, folder):
+    pmi = cooccur.word_pmi(*vocabulary_pairs(spark, folder))
+    return pmi.select("a", "b", F.round("pmi", 6).alias("pmi"))
+
+
+def _digest(rows: DataFrame, key: str) -> DataFrame:
+    """A vector in a few figures: its width, length, ends, and sums plain and weighted by place."""
+    v = F.col("vector")
+    rows = rows.withColumn("vector", v.cast("array<double>"))
+    ramp = F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.size(v)), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        key, F.size(v).cast("bigint").alias("n_dims"), _rounded(F.sqrt(_squares("vector")), "norm"), _rounded(v[0], "first"),
+        _rounded(F.element_at(v, -1), "last"), _rounded(total, "total"), _rounded(ramp, "ramp"),
+    )
 
 
-def fitted(spark: SparkSession, folder: str, vectorizer: Vectorizer) -> Model:
-    """A model trained on all documents; the vector and the document query share it."""
-    key = (spark.sparkContext.applicationId, folder, vectorizer.name)
-    if key not in _FITTED:
-        _FITTED[key] = vectorizer.fit(token_frame(spark, folder))
-    return _FITTED[key]
+def _rounded(value, name: str):
+    """Four places, minus zero as zero."""
+    return (F.round(value, 4) + F.lit(0.0)).alias(name)
 
 
 @query
 def word2vec_vectors(spark, folder):
-    model = fitted(spark, folder, wordvec.SkipGram())
-    return model.vectors.select("word", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
+    return _digest(wordvec.CoOccurrence().fit(token_frame(spark, folder)).vectors, "word")
 
 
 @query
 def word2vec_docs(spark, folder):
-    pooled = fitted(spark, folder, wordvec.SkipGram()).pool(token_frame(spark, folder))
-    return pooled.select("doc_id", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
+    docs = token_frame(spark, folder)
+    return _digest(wordvec.CoOccurrence().fit(docs).pool(docs), "doc_id")
 
 
 @query
@@ -355,31 +424,20 @@ def subword_vectors(spark, folder):
 
 @query
 def fasttext_vectors(spark, folder):
-    model = fitted(spark, folder, subword.SubwordSkipGram())
-    return model.words.select("word", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
+    model = subword.SubwordCoOccurrence().fit(token_frame(spark, folder))
+    return _digest(model.word_vectors(model.words.select("word")), "word")
 
 
 @query
 def fasttext_docs(spark, folder):
-    pooled = fitted(spark, folder, subword.SubwordSkipGram()).pool(token_frame(spark, folder))
-    return pooled.select("doc_id", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
-
-
-@query
-def batch_encode(spark, folder):
-    make = encode.hashed_encoder(max_length=None)
-    coded = documents(spark, folder).select("doc_id", encode.encode_column("text", make).alias("vector"))
-    return coded.select("doc_id", F.size("vector").alias("n_dims"), _norm("vector").alias("norm"))
+    docs = token_frame(spark, folder)
+    return _digest(subword.SubwordCoOccurrence().fit(docs).pool(docs), "doc_id")
 
 
 def _squares(vector: str):
     return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
 
 
-def _norm(vector: str):
-    return F.round(F.sqrt(_squares(vector)), 4)
-
-
 # Classifier and metrics --------------------------------------------------------------
 
 
@@ -409,6 +467,32 @@ def lr_score(spark, folder):
     return scored.withColumn("score", F.round("score", 4))
 
 
+def plain_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Two figures of each labelled document: a tenth of the logarithm of its length, and whether it has an insult."""
+    docs = labelled(spark, folder, "text", "n_chars")
+    figures = F.array(F.log(F.col("n_chars") + 1.0) / 10, F.lower("text").rlike(INSULT).cast("double"))
+    return docs.select("doc_id", "label", figures.alias("features"))
+
+
+@query
+def lr_newton(spark, folder):
+    """The optimum of the class-weighted classifier on two features; the intercept has the last place."""
+    model = classify.fit_logistic(plain_features(spark, folder))
+    entries = [(i, float(round(c, 6))) for i, c in enumerate([*model.coefficients, model.intercept])]
+    return spark.createDataFrame(entries, "idx bigint, coef double")
+
+
+@query
+def lr_dense(spark, folder):
+    """Scores on the test split of a classifier trained on pooled vectors, and whether its gradient vanishes."""
+    known, n, dim = word_table(spark, folder, token_frame(spark, folder))
+    docs = with_tokens(sampling.stratified_split(labelled(spark, folder, "text")))
+    ready = cut_lineage(pooling.mean_pool(docs, known.select("word", "vector"), dim, n).withColumnRenamed("vector", "features"))
+    model = classify.fit_logistic(ready.filter(F.col("split") == "train"))
+    scored = classify.predict(model, ready.filter(F.col("split") == "test"))
+    return metrics.evaluate(scored).withColumn("at_optimum", F.lit(bool(model.gradient_norm < 1e-5)))
+
+
 @query
 def lr_metrics(spark, folder):
     docs = with_tokens(sampling.stratified_split(labelled(spark, folder, "text")))
@@ -530,6 +614,29 @@ def project_2d(spark, folder):
     return project.project_2d(emb)
 
 
+def subset_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, label, vector)``: an equal number of labelled documents of each class, pooled with the word table."""
+    docs = token_frame(spark, folder)
+    known, n, dim = word_table(spark, folder, docs)
+    chosen = sampling.projection_subset(labelled(spark, folder, "text"))
+    return cut_lineage(pooling.mean_pool(with_tokens(chosen), known.select("word", "vector"), dim, n))
+
+
+@query
+def project_variance(spark, folder):
+    """Variance along the first two axes of the documents' vectors."""
+    axes = project.principal_axes(project.covariance(subset_vectors(spark, folder)))
+    return axes.select("component", F.round("variance", 6).alias("variance"), F.round("share", 6).alias("share"))
+
+
+@query
+def project_documents(spark, folder):
+    """The documents on these two axes."""
+    rows = subset_vectors(spark, folder)
+    placed = project.on_axes(rows, project.principal_axes(project.covariance(rows)))
+    return placed.select("doc_id", "label", _rounded(F.col("places")[0], "x"), _rounded(F.col("places")[1], "y"))
+
+
 @query
 def class_centroids(spark, folder):
     return project.class_centroids(table(spark, folder, "embeddings"), "label", "embedding")

@@ -6,12 +6,13 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 # A lookup side is broadcast only when its checked size is at most this many bytes.
 BROADCAST_BUDGET = 256 * 1024 * 1024
-# Copies of the lookup side in the salted join used beyond the budget.
-SALTS = 16
+# Keys joined by broadcast when the lookup side is beyond the budget: the most frequent ones, so that a key left for the
+# shuffle holds at most one row in this many.
+HEAD_KEYS = 10_000
 # Per-group figures are held on the driver only for at most this many groups.
 GROUP_LIMIT = 10_000
 
@@ -94,35 +95,35 @@ def few_rows(df: DataFrame, limit: int = GROUP_LIMIT) -> list[Row] | None:
     return head if len(head) <= limit else None
 
 
-def join_per_group(rows: DataFrame, per_group: DataFrame, by: list[str], spread_by: Column, how: str = "inner") -> DataFrame:
+def join_per_group(rows: DataFrame, per_group: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Join rows to a frame of one row per group, without moving the rows when groups are few."""
     head = few_rows(per_group)
     if head is not None:
         local = rows.sparkSession.createDataFrame(head, per_group.schema)
         return rows.join(F.broadcast(local), by, how)
-    return salted_join(rows, cut_lineage(per_group), by, spread_by, how)
+    return head_tail_join(rows, cut_lineage(per_group), by, how)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread_by: Column, how: str) -> DataFrame:
-    """Shuffle join on ``(on, salt)``: a key holding a large share of the rows is spread over
-    ``SALTS`` tasks, and the table is repeated once per salt."""
+def head_tail_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", head_keys: int = HEAD_KEYS) -> DataFrame:
+    """Join many ``rows`` to a keyed ``table`` too large to broadcast, whatever share of the rows one key holds.
+
+    Keys are counted (combined per task) and the ``head_keys`` most frequent ones join by broadcast where their rows
+    are; the others are shuffled, and none of them can hold a large share. Rows are read once for each of these steps.
+    """
     if how not in ("inner", "left", "left_anti", "left_semi"):
         raise ValueError(f"unsupported lookup join: {how}")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    repeated = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    frequent = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *on).limit(head_keys).select(*on)
+    frequent = F.broadcast(cut_lineage(frequent))
+    head = table.join(frequent, on, "left_semi")
+    near = rows.join(frequent, on, "left_semi").join(F.broadcast(head), on, how)
+    return near.unionByName(rows.join(frequent, on, "left_anti").join(table, on, how))
 
 
 def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: str,
-    spread_by: Column,
-    table_bytes: int,
-    how: str = "inner",
-    budget: int = BROADCAST_BUDGET,
+    rows: DataFrame, table: DataFrame, on: str, table_bytes: int, how: str = "inner", budget: int = BROADCAST_BUDGET
 ) -> DataFrame:
-    """Join many ``rows`` to a keyed ``table`` of known size: broadcast within ``budget``, salted beyond."""
+    """Join many ``rows`` to a keyed ``table`` of known size: broadcast within ``budget``, by head and tail beyond."""
     if table_bytes <= budget:
         return rows.join(F.broadcast(table), on, how)
-    return salted_join(rows, table, [on], spread_by, how)
+    room = max(budget // max(table_bytes // max(table.count(), 1), 1), 1)
+    return head_tail_join(rows, table, [on], how, min(HEAD_KEYS, room))

@@ -143,11 +143,11 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) ->
     kept as it is. An empty table gives an empty result. Columns besides doc_id, text and the host are not read.
 
     Texts pass once; hosts are counted with partial sums in each task, so a host with a third of all documents sends a row
-    a task. Few hosts are broadcast, many joined with the documents salted.
+    a task. Few hosts are broadcast, beyond that the hosts of most documents are.
     """
     judged = stored(measured(docs, host).withColumn("base_failed", base_failed()))
     rates = host_rates(judged).select(_key(), "host_docs", "host_failures", F.round("host_rate", 6).alias("host_rate"))
-    joined = join_per_group(judged.withColumn("_key", _key()), rates, ["_key"], F.xxhash64("doc_id", *COUNTS)).drop("_key")
+    joined = join_per_group(judged.withColumn("_key", _key()), rates, ["_key"]).drop("_key")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
 
 

@@ -135,3 +135,68 @@ def test_sql_functions_equal_the_columns_and_stay_native(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "regexp" in plan
+
+
+def adversarial_csv(n, seed):
+    """Rows whose texts hold quotes, commas, line breaks and blank lines, as a CSV writer quotes them."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = "".join(rng.choice(['"', ",", "\n", "\n\n", "x", "é", " ", '""', "\r\n", '\n"', '",\n']) for _ in range(rng.choice((1, 3, 10, 120))))
+        rows.append((f"{i}{text}", i % 2))
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+    writer.writerow(["text", "label"])
+    writer.writerows(rows)
+    return out.getvalue(), rows
+
+
+@pytest.mark.parametrize("block", ["37b", "211b", "1m"])
+def test_split_csv_equals_the_whole_read(spark, tmp_path, block):
+    want = []
+    for i in range(3):
+        text, rows = adversarial_csv(80, i)
+        (tmp_path / f"{i}.csv").write_bytes(text.encode())
+        want += rows
+    (tmp_path / "3.csv").write_bytes(b"\xef\xbb\xbflabel,extra,text\n1.0,x,reordered\n\n0,y,\"two\n\nlines\"")
+    want += [("reordered", 1), ("two\n\nlines", 0)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        if block == "211b":
+            assert labelled_csv.records(spark, str(tmp_path)).select("file", "block").distinct().count() > 40
+        got = labelled_csv.read_labelled_csv(spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_empty_csv(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("text,label\n")
+    assert labelled_csv.read_labelled_csv(spark, str(tmp_path / "e.csv")).count() == 0
+    (tmp_path / "n.csv").write_text("")
+    assert labelled_csv.read_labelled_csv(spark, str(tmp_path / "n.csv")).dtypes == [("text", "string"), ("label", "int")]
+
+
+def test_last_vector_wins_over_files_and_blocks(spark, tmp_path):
+    """A longer earlier file must not pass a later one, nor a later block an earlier one."""
+    (tmp_path / "a.txt").write_text("".join(f"w{i % 7} {i} 0\n" for i in range(700)))
+    (tmp_path / "b.txt").write_text("w1 -1 -1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        def last(path):
+            return {r.word: r.vector[0] for r in vectors.dedupe_last(vectors.read_vector_text(spark, path), "word", "seq").collect()}
+
+        own = {f"w{i % 7}": float(i) for i in range(700)}
+        assert last(str(tmp_path)) == own | {"w1": -1.0}
+        a, b = str(tmp_path / "a.txt"), str(tmp_path / "b.txt")
+        assert last([b, a]) == own and last([a, b])["w1"] == -1.0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from textyard.session import few_rows, join_per_group
+from textyard.sources.split_csv import records
 
 # Tokens the data-frame reader of the studied tool takes as missing.
 NA_TOKENS = (
@@ -22,23 +28,43 @@ COMMENTS = T.StructType(
 )
 
 
+# How the fields of a record are quoted.
+QUOTED = {"quote": '"', "escape": '"', "multiLine": "true", "maxColumns": "2000"}
+
+
 def read_labelled_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = CORPUS) -> DataFrame:
-    """Read with a fixed schema; texts may hold commas, quotes and line breaks.
+    """Read with a fixed schema; texts may hold commas, quotes and line breaks, and a file is read by many tasks.
 
-    Columns are matched to the schema by the header's names, so their order in the
-    file does not matter and columns the schema does not name are left out.
+    Columns are matched to the schema by each file's own header, so their order may differ between files and
+    columns the schema does not name are left out. Whole numbers may be written as ``1.0``.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.option("nullValue", "").csv(path)
-    missing = [f.name for f in schema.fields if f.name not in raw.columns]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
-    return raw.select(
-        *[
-            F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    rows = records(spark, path)
+    first = (F.col("block") == 0) & (F.col("n") == 0)
+    heads = rows.where(first).select("file", F.regexp_replace("text", "^\ufeff", "").alias("head"))
+    kinds = few_rows(heads.select("head").distinct())
+    if kinds is None:
+        raise ValueError(f"the files of {path} have too many different headers")
+    body = rows.where(~first)
+    if len(kinds) > 1:
+        body = join_per_group(body, heads, ["file"])
+    parts = []
+    for kind in sorted(r["head"] for r in kinds):
+        names = next(csv.reader([kind]))
+        missing = [f.name for f in schema.fields if f.name not in names]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        own = body if len(kinds) == 1 else body.where(F.col("head") == kind)
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        cells = own.select(F.from_csv("text", fields, QUOTED).alias("r"))
+        parts.append(cells.select(*[_value(F.col(f"r.c{names.index(f.name)}"), f.dataType).alias(f.name) for f in schema.fields]))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _value(cell: Column, kind: T.DataType) -> Column:
+    given = F.when(~cell.isin(*NA_TOKENS), cell)
+    return given.cast("double").cast(kind) if isinstance(kind, T.IntegralType) else given.cast(kind)
 
 
 def read_sources(spark: SparkSession, paths: dict[str, str], schema: T.StructType = CORPUS) -> DataFrame:

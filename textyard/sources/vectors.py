@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -12,14 +14,21 @@ def parse_vector_line(line: Column) -> list[Column]:
     return [F.element_at(parts, 1).alias("word"), vector.alias("vector")]
 
 
-def read_vector_text(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``seq, word, vector``; ``seq`` grows with the place in the file.
+def read_vector_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows ``seq, word, vector``; ``seq`` grows with the place in the files, in the order they are given.
 
-    Spark gives text lines no number. ``monotonically_increasing_id`` follows the file
-    order within a scan of one file, which is what last-wins needs.
+    A folder's files follow each other by name. A place is the file, the byte at which the task's block of it begins, and
+    the number of the row in the task, which follows the lines of a block.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("seq"), *parse_vector_line(F.col("value")))
+    parts = []
+    for number, one in enumerate([path] if isinstance(path, str) else path):
+        lines = spark.read.text(one).where(F.trim("value") != "")
+        place = F.struct(
+            F.lit(number).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        parts.append(lines.select(place.alias("seq"), *parse_vector_line(F.col("value"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dedupe_last(df: DataFrame, key: str, seq: str) -> DataFrame:

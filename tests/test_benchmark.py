@@ -166,3 +166,27 @@ def test_failed_dataset_is_skipped(spark, sf):
         benchmark.build_vectorizers(["nope"])
     with pytest.raises(ValueError, match="glove"):
         benchmark.build_vectorizers(["glove"])
+
+
+def test_reports_of_a_real_run(spark, sf):
+    results, report = benchmark.run_with_reports(labelled(spark, sf, "text"), "toxic", ["bow"])
+    rows = {r.row: r for r in report.collect()}
+    assert set(rows) == {"non-toxic", "toxic", "accuracy", "macro avg", "weighted avg"}
+    record = results.first()
+    assert (rows["macro avg"].f1, rows["accuracy"].f1) == (record.f1_macro, record.accuracy)
+    assert {r.vectorizer for r in rows.values()} == {"bow"} and {r.dataset for r in rows.values()} == {"toxic"}
+
+
+def test_prepared_corpora(spark):
+    from textyard.plans import datasets
+
+    raw = spark.createDataFrame([(i, f"text number {i:04d} of all", int(i % 9 == 0), None) for i in range(300)] + [(900, None, 1, 1)], "doc_id long, t string, a int, b int")
+    got = datasets.prepare_comments(raw, "t", ["a", "b"], 200).collect()
+    assert sorted(r.place for r in got) == list(range(1, 401)) and sum(r.label for r in got) == 200
+    reviews = spark.createDataFrame([(i, "x" * (i % 40), i % 3 % 2) for i in range(400)] + [(900, None, 1)], "doc_id long, text string, label int")
+    with pytest.warns(UserWarning):
+        got = datasets.prepare_reviews(reviews).collect()
+    kept = [(i, i % 3 % 2) for i in range(400) if i % 40 >= 20]
+    n = min(sum(v for _, v in kept), sum(1 - v for _, v in kept))
+    assert len(got) == 2 * n and sum(r.label for r in got) == n and all(20 <= len(r.text) < 40 for r in got)
+    assert sorted(r.place for r in got) == list(range(1, 2 * n + 1))

@@ -14,9 +14,9 @@ from textyard.functions import text as tx
 METHODS = (
     ("bow", "BoW", "Sparse", 1),
     ("tfidf", "TF-IDF", "Sparse", 2),
-    ("word2vec", "Word2Vec", "Dense", 3),
-    ("fasttext", "FastText", "Subword", 4),
-    ("glove", "GloVe", "Dense", 5),
+    ("word2vec", "Word2Vec", "Dense DL", 3),
+    ("fasttext", "FastText", "Subword DL", 4),
+    ("glove", "GloVe", "Dense DL", 5),
     ("distilbert", "DistilBERT", "Contextual", 6),
     ("roberta", "RoBERTa", "Contextual", 7),
 )

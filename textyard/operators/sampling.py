@@ -24,7 +24,8 @@ PREFIX_DIGITS = 4
 BUCKETS = 16**PREFIX_DIGITS
 
 
-def _prefix(key: Column) -> Column:
+def prefix(key: Column) -> Column:
+    """The part of a draw key that is counted."""
     return F.substr(key, F.lit(1), F.lit(PREFIX_DIGITS))
 
 
@@ -49,7 +50,7 @@ class Draws:
     @cached_property
     def keys(self) -> DataFrame:
         narrow = self.rows.select(F.col(self.label).alias("_label"), self.key.alias("_key"))
-        return cut_lineage(narrow.where("_label is not null").withColumn("_bucket", _prefix(F.col("_key"))))
+        return cut_lineage(narrow.where("_label is not null").withColumn("_bucket", prefix(F.col("_key"))))
 
     @cached_property
     def histogram(self) -> DataFrame:
@@ -136,7 +137,7 @@ def ranked(rows: DataFrame, key: Column, bucket: Column) -> DataFrame:
 def shuffled_ranks(rows: DataFrame, row_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """Place of each row in the seeded full shuffle."""
     key = draw_key(F.col(row_id), seed)
-    return ranked(rows, key, _prefix(key))
+    return ranked(rows, key, prefix(key))
 
 
 def shuffle_rows(rows: DataFrame, row_id: str = "doc_id", seed: int = SEED) -> DataFrame:

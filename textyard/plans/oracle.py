@@ -240,6 +240,19 @@ FROM docs GROUP BY source""",
         "class_weights": f"""{docs}
 SELECT label, count(*) AS n,
   round((SELECT count(*) / count(DISTINCT label) FROM docs) / count(*), 6) AS weight FROM docs GROUP BY label""",
+        "prepare_comments": f"""WITH rows AS (SELECT doc_id, text, CASE WHEN coalesce(toxic, 0) + coalesce(1 - quality, 0) > 0 THEN 1 ELSE 0 END AS label
+  FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT count(*) FILTER (label = 0) AS n, count(*) FILTER (label = 1) AS m FROM rows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rank FROM rows),
+draws AS (SELECT i AS draw_no, {_int("i || ':42'")} % (SELECT m FROM n) + 1 AS rank FROM range(1, (SELECT n FROM n) + 1) r(i)),
+drawn AS (SELECT doc_id, text, label, 0 AS draw_no FROM ranked, n WHERE rank <= n AND (label = 0 OR m >= n)
+  UNION ALL SELECT doc_id, text, label, draw_no FROM ranked JOIN draws USING (rank), n WHERE label = 1 AND m < n)
+SELECT row_number() OVER (ORDER BY md5(doc_id || ':' || draw_no || ':42')) AS place, text, label FROM drawn""",
+        "prepare_reviews": f"""WITH kept AS (SELECT doc_id, text, quality AS label FROM documents JOIN labels USING (doc_id)
+  WHERE text IS NOT NULL AND length(text) BETWEEN 20 AND 512),
+n AS (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1), 20000) AS n FROM kept),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rn FROM kept)
+SELECT row_number() OVER (ORDER BY {KEY}) AS place, text, label FROM drawn, n WHERE rn <= n""",
         "shuffled": f"SELECT doc_id, row_number() OVER (ORDER BY {KEY}) AS rank FROM documents",
         "balance_n": f"""{docs}, {BOOTSTRAP}
 SELECT doc_id, label, CAST(0 AS BIGINT) AS draw_no FROM docs WHERE label = 0

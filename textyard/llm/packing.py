@@ -17,13 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from textyard.llm import words as wd
 from textyard.llm.common import stored, text_slices
 
 LENGTH = 2048
 UNIT = 8
 END_ID = 1
-# Distinct words whose ids a worker remembers (some 150 bytes each).
-WORD_CACHE = 600_000
+# Distinct words that a worker remembers, and their ids in all.
+WORD_CACHE = 1_500_000
+ID_CACHE = 1 << 23
+# Text encoded at once: the more, the fewer distinct words are looked up for all of them.
+SLICE = 1 << 23
 # Pieces ranked in one task.
 RANK_ROWS = 50_000
 
@@ -31,8 +35,9 @@ RANK_ROWS = 50_000
 class Words:
     """Ids of texts by a tokenizer that cuts at white space, lower-cases, and marks word ends by a suffix.
 
-    Texts are cut at ASCII white space, where no token can cross, and each distinct word is encoded once per
-    worker. Letters-only words are encoded many at a time and cut at the word-end ids.
+    Texts are cut at ASCII white space, where no token can cross. Words are told apart by 64-bit hashes, each distinct one is
+    looked up once for a slice of text and encoded once per worker. Letters-only words are encoded many at a time and cut at
+    the word-end ids.
     """
 
     def __init__(self, path: str | None = None):
@@ -48,71 +53,84 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.start = np.zeros(WORD_CACHE + 2, dtype=np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words and append their ids to the flat table."""
-        plain, other = [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            (plain if s.isalpha() else other).append((w, s))
-        lists: list[np.ndarray] = []
-        for i in range(0, len(plain), 4096):
-            group = plain[i : i + 4096]
-            joined = [" ".join(s for _, s in group[j : j + 256]) for j in range(0, len(group), 256)]
-            ids = np.concatenate([np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                lists += np.split(ids, cuts[:-1])
-            else:
-                lists += [self._one(s) for _, s in group]
+        # the words known: hashes in order, where their ids begin in the flat table, and how many they are
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many ids each word has."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(text) if t.isalpha()]
+        other = [i for i, t in enumerate(text) if not t.isalpha()]
+        sizes, parts, order = np.zeros(len(text), dtype=np.int64), [], [*plain, *other]
+        for i in range(0, len(plain), 256 * 16):
+            runs = [plain[j : j + 256] for j in range(i, min(i + 256 * 16, len(plain)), 256)]
+            for run, found in zip(runs, self._batch([" ".join(text[k] for k in run) for run in runs])):
+                cuts = np.flatnonzero(self.ends[found]) + 1
+                if len(cuts) == len(run):
+                    sizes[run] = np.diff(cuts, prepend=0)
+                else:
+                    each = self._batch([text[k] for k in run])
+                    sizes[run] = [len(e) for e in each]
+                    found = np.concatenate(each)
+                parts.append(found)
         for i in range(0, len(other), 1024):
-            lists += [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([s for _, s in other[i : i + 1024]], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        total = int(self.start[self.used] + sizes.sum())
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), dtype=np.uint32)])
-        self.flat[self.start[self.used] : total] = np.concatenate(lists)
-        at = self.used
-        self.start[at + 1 : at + 1 + len(sizes)] = self.start[at] + np.cumsum(sizes)
-        for n, (w, _) in enumerate(plain + other):
-            self.known[w] = at + n
-        self.used += len(sizes)
-
-    def _one(self, s: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype=np.uint32)
+            each = self._batch([text[k] for k in other[i : i + 1024]])
+            sizes[other[i : i + 1024]] = [len(e) for e in each]
+            parts += each
+        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        # from the order of encoding back to that of the words
+        begin = np.zeros(len(text), dtype=np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[_runs(begin, sizes)], sizes
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Add words, hashes ascending."""
+        flat, sizes = self._ids(words)
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, sizes)
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many ids each text has."""
-        cut = [b.lower().split() for b in blobs]
-        words = [w for c in cut for w in c]
-        known = self.known
-        places = np.fromiter((known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(places < 0)
+        hashes, owner, start, length = wd.gathered(wd.scan(blobs, lower=True), ("hashes", "owner", "start", "length"))
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place, known = self._find(distinct)
+        missing = np.flatnonzero(~known)
         if len(missing):
-            new = list({words[i] for i in missing})
-            if self.used + len(new) > WORD_CACHE:
-                self._forget()
-                known, missing, new = self.known, np.arange(len(words)), list(set(words))
-                if len(new) > WORD_CACHE:
-                    self.start = np.zeros(len(new) + 2, dtype=np.int64)
-            self._learn(new)
-            places[missing] = [known[words[i]] for i in missing]
-        begin, size = self.start[places], self.start[places + 1] - self.start[places]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begin - (ends - size), size)]
-        per_word = np.zeros(len(words) + 1, dtype=np.int64)
-        per_word[1:] = ends
-        bounds = np.zeros(len(cut) + 1, dtype=np.int64)
-        np.cumsum([len(c) for c in cut], out=bounds[1:])
-        return ids, per_word[bounds[1:]] - per_word[bounds[:-1]]
+            if len(self.keys) + len(missing) > WORD_CACHE or len(self.flat) > ID_CACHE:
+                self._keep(place[known])
+            at = first[missing]
+            new = [blobs[o][s : s + n].lower() for o, s, n in zip(owner[at].tolist(), start[at].tolist(), length[at].tolist())]
+            self._learn(distinct[missing], new)
+        place = self._find(distinct)[0][which]
+        size = self.size[place]
+        return self.flat[_runs(self.begin[place], size)], np.bincount(owner, weights=size, minlength=len(blobs)).astype(np.int64)
+
+    def _keep(self, places: np.ndarray) -> None:
+        """Forget all words but those at these places, ascending."""
+        self.flat = self.flat[_runs(self.begin[places], self.size[places])]
+        self.keys, self.size = self.keys[places], self.size[places]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of runs, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+# One tokenizer and its words for all tasks of a Python worker.
+_WORDS: dict[str | None, Words] = {}
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -121,9 +139,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * with_ids
 
     def encode(batches):
-        words = Words(path)
+        words = _WORDS[path] if path in _WORDS else _WORDS.setdefault(path, Words(path))
         for batch in batches:
-            for part, blobs in text_slices(batch, 1):
+            for part, blobs in text_slices(batch, 1, SLICE):
                 ids, sizes = words.encode(blobs)
                 rows, at = [[] for _ in range(5 + with_ids)], 0
                 for doc, size in zip(part.column(0).to_pylist(), sizes.tolist()):

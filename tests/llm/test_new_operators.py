@@ -292,9 +292,12 @@ def test_collocations_in_small_buffers(spark, monkeypatch):
     total = Counter()
     for begin in range(0, len(ids), 50):
         end = min(begin + 54, len(ids))
-        for batch in collocations._suffix_rows(ids[begin:end], counts[begin:end], run[begin:end], min(50, len(ids) - begin), 10):
-            for b, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                total[tuple(np.frombuffer(b, np.uint32).tolist())] += k
+        goes_on = collocations.pair_keys(ids, run) != 0
+        rows_ = collocations._suffix_rows(ids[begin:end], counts[begin:end], goes_on[begin:end], min(50, len(ids) - begin), 10)
+        packed = collocations._packed((rows_[1] % np.uint64(7)).astype(np.int32), *rows_[2:])
+        held, n, whole = collocations._unpacked(packed, np.dtype(np.uint32))
+        for row, k in zip(held.tolist(), n.tolist()):
+            total[tuple(v for v in row if v)] += k
     want = Counter()
     for i in range(len(ids)):
         own = [int(ids[j]) for j in range(i, min(i + 5, len(ids))) if run[j] == run[i]]
@@ -303,6 +306,14 @@ def test_collocations_in_small_buffers(spark, monkeypatch):
     assert total == want
 
 
+def test_few_pair_slots_and_held_pairs_change_nothing(spark, monkeypatch):
+    rows = phrase_rows(9)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    monkeypatch.setattr(collocations, "PAIR_SLOTS", 32)
+    monkeypatch.setattr(collocations, "RANK_PARTS", 2)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 4, 30).collect()) == brute_collocations(rows, 4, 30)
+
+
 def test_collocations_on_awkward_rows(spark):
     docs = awkward_docs(spark)
     got = sorted(tuple(r) for r in collocations.collocations(docs, 3).collect())

@@ -2,8 +2,8 @@
 
 A suffix is the next five words of a piece of text, from any word. Suffixes are routed over the tasks by their leading
 words, sorted there word by word with three-way partitions, and an equal partition's size is the count of its phrase;
-partitions below the least count are abandoned. Only words that reach the least count themselves are routed: suffixes end
-ahead of any other.
+partitions below the least count are abandoned. Before they are routed, suffixes are cut where no phrase can go on: ahead of a word below
+the least count, and between two neighbours that occur together less often. Both are counted first, combined in each task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textyard.llm import shingles as sh, words as wd
-from textyard.llm.common import share, stored, text_slices
+from textyard.llm.common import id_bitmap, in_bitmap, share, stored, text_slices
 
 LEAST = 100
 LONGEST = 5
@@ -25,9 +26,16 @@ KEPT = 2_000
 # Words broadcast with their counts (16 bytes each); with more, rarer words are told apart only after routing.
 TABLE_WORDS = 1 << 22
 # Text turned into suffixes at once, and suffixes mined at once.
-SLICE = 1 << 23
-BUFFER = 1 << 19
-# A route takes at most this share of one task's suffixes, or this many.
+SLICE = 1 << 22
+BUFFER = 1 << 18
+# Bits that tell frequent neighbours (16 MB); two pairs in one bit only let a suffix run on.
+PAIR_SLOTS = 1 << 27
+# Pairs and suffixes a task counts before it sends them.
+PAIRS_HELD = 1 << 22
+SUFFIXES_HELD = 1 << 19
+# Parts of a language ranked apart before its best phrases are.
+RANK_PARTS = 64
+# Buckets of routes for each task. A route takes at most a bucket's share of all suffixes, or ``ROUTE_ROWS``.
 TASK_SHARE = 4
 ROUTE_ROWS = 10_000
 
@@ -98,39 +106,93 @@ def word_table(frequent: DataFrame, limit: int = TABLE_WORDS) -> WordTable:
     return WordTable(hashes[order], counts[order], n <= limit, int(counts.min()) if n > limit else 0)
 
 
-def suffixes(docs: DataFrame, words: WordTable, route_rows: int) -> DataFrame:
-    """(route, whole, ids, n): suffixes of two words and more, equal ones of a slice counted together.
+def pair_keys(ids: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word and the next one of its run, 0 where there is none or one of them is too rare."""
+    keys = np.zeros(len(ids), dtype=np.uint64)
+    if len(ids) > 1:
+        both = sh.mix(ids[:-1].astype(np.uint64) * np.uint64(sh._BASE) ^ sh.mix(ids[1:].astype(np.uint64) + np.uint64(1))) | np.uint64(1)
+        keys[:-1] = np.where((run[1:] == run[:-1]) & (ids[:-1] != 0) & (ids[1:] != 0), both, np.uint64(0))
+    return keys
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def pair_counts(docs: DataFrame, words: WordTable) -> DataFrame:
+    """(pair, n): counts of neighbours, added up in each task."""
+    table = share(docs, words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value
+        keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["pair", "n"])
+        for batch in batches:
+            for part, blobs in text_slices(batch, 1, SLICE):
+                hashes, owner, run = _words(part.column(0), blobs, ("run",))
+                found = pair_keys(words.look(hashes)[0], run)
+                found, n = np.unique(found[found != 0], return_counts=True)
+                keys, counts = _merged(np.concatenate([keys, found]), np.concatenate([counts, n]))
+                if len(keys) >= PAIRS_HELD:
+                    yield send()
+                    keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield send()
+
+    rows = docs.select(language().alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def suffixes(docs: DataFrame, words: WordTable, pairs: np.ndarray, route_rows: int, buckets: int) -> DataFrame:
+    """(bucket, sizes, whole, ids, n): suffixes of two words and more, equal ones counted, a row for each bucket of a task.
+
+    ``pairs`` is a bitmap of the neighbours that may lie in a phrase; a suffix ends between any others.
 
     A route is the hash of as few leading words as needed for some of them to occur at most ``route_rows`` times, so no
     route is longer, however frequent its first words. Suffixes whose words are all more frequent are routed by all their
-    words; they are alike, and each slice sends one. ``whole`` is the least depth at which a route holds all
+    words; they are alike, and each task sends one. Routes share ``buckets``. ``whole`` is the least depth at which a route holds all
     occurrences of a suffix's leading words.
     """
-    table = share(docs, words)
+    table, near = share(docs, words), share(docs, pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
+        words, pairs = table.value, near.value
+        held: list[tuple] = []
+        send = lambda key, route, *rest: _packed((route % np.uint64(buckets)).astype(np.int32), *rest)
         for batch in batches:
             for part, blobs in text_slices(batch, 1, SLICE):
                 hashes, owner, run = _words(part.column(0), blobs, ("run",))
                 ids, counts, _ = words.look(hashes)
+                keys = pair_keys(ids, run)
+                goes_on = (keys != 0) & in_bitmap(pairs, keys.view(np.int64))
                 for begin in range(0, len(ids), BUFFER):
                     # the next words of the last suffixes belong to them too
                     end = min(begin + BUFFER + LONGEST - 1, len(ids))
-                    yield from _suffix_rows(ids[begin:end], counts[begin:end], run[begin:end], min(BUFFER, len(ids) - begin), route_rows)
+                    held.append(_suffix_rows(ids[begin:end], counts[begin:end], goes_on[begin:end], min(BUFFER, len(ids) - begin), route_rows))
+                held = [_counted(*(np.concatenate(c) for c in zip(*held)))] if held else held
+                if held and len(held[0][0]) >= SUFFIXES_HELD:
+                    yield send(*held.pop())
+        if held and len(held[0][0]):
+            yield send(*held[0])
 
     rows = docs.select(language().alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "route bigint, whole int, ids binary, n bigint")
+    return rows.mapInArrow(cut, "bucket int, sizes binary, whole binary, ids binary, n binary")
 
 
-def _suffix_rows(ids, counts, run, m: int, route_rows: int) -> Iterator[pa.RecordBatch]:
+def _suffix_rows(ids, counts, goes_on, m: int, route_rows: int) -> tuple:
+    """Suffixes of the first ``m`` words as (key, route, whole, n, words); ``goes_on`` tells whether a suffix may hold a word
+    and the next one."""
     held = np.zeros((m, LONGEST), dtype=ids.dtype)
     least, whole, size = np.full(m, np.iinfo(np.int64).max), np.zeros(m, dtype=np.int32), np.zeros(m, dtype=np.int32)
-    route, alive = np.zeros(m, dtype=np.uint64), np.ones(m, dtype=bool)
+    route = np.zeros(m, dtype=np.uint64)
     padded = lambda a, fill: np.concatenate([a, np.full(LONGEST, fill, dtype=a.dtype)])
-    ids, counts, run = padded(ids, 0), padded(counts, 0), padded(run, -1)
+    ids, counts, goes_on = padded(ids, 0), padded(counts, 0), padded(goes_on, False)
+    alive = ids[:m] != 0
     for d in range(LONGEST):
-        alive = alive & (ids[d : d + m] != 0) & (run[d : d + m] == run[:m])
+        alive = alive & goes_on[d - 1 : d - 1 + m] if d else alive
         held[alive, d] = ids[d : d + m][alive]
         size += alive
         open_ = alive & (whole == 0)
@@ -139,21 +201,44 @@ def _suffix_rows(ids, counts, run, m: int, route_rows: int) -> Iterator[pa.Recor
         whole[open_ & (least <= route_rows)] = d + 1
     whole[whole == 0] = LONGEST + 1  # no leading words are rare enough: routed by all words
     used = np.flatnonzero(size >= 2)
-    if not len(used):
-        return
     key = route[used].copy()
     for d in range(LONGEST):
         key = sh.mix(key * np.uint64(sh._BASE) + held[used, d].astype(np.uint64))
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    at = used[first]
-    width = held.itemsize * LONGEST
-    cells, sizes = held[at].astype(held.dtype.newbyteorder("<")), size[at]
-    # only the words a suffix has are sent
-    kept = np.arange(LONGEST) < sizes[:, None]
-    offsets = np.zeros(len(at) + 1, dtype=np.int32)
-    np.cumsum(sizes * (width // LONGEST), out=offsets[1:])
-    binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cells[kept]))])
-    yield pa.RecordBatch.from_arrays([pa.array(route[at].view(np.int64)), pa.array(whole[at]), binary, pa.array(n)], names=["route", "whole", "ids", "n"])
+    return _counted(key, route[used], whole[used], np.ones(len(used), dtype=np.int64), held[used])
+
+
+def _counted(key: np.ndarray, route: np.ndarray, whole: np.ndarray, n: np.ndarray, held: np.ndarray) -> tuple:
+    """Equal suffixes once, with the sum of their counts."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=key[order][:1] ^ np.uint64(1)))
+    at = order[first]
+    return key[at], route[at], whole[at], np.add.reduceat(n[order], first) if len(first) else n[at], held[at]
+
+
+def _packed(bucket: np.ndarray, whole: np.ndarray, n: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket of routes for the shuffle, with its suffixes' sizes, words and counts one behind the other."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, whole, n, held = bucket[order], whole[order], n[order], held[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+    ends = np.append(first, len(bucket))
+    kept = held != 0
+    words = np.append(0, np.cumsum(kept.sum(axis=1)))
+
+    def column(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        offsets = pa.py_buffer((at * values.itemsize).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+    columns = [column(kept.sum(axis=1).astype(np.uint8), ends), column(whole.astype(np.uint8), ends), column(held[kept], words[ends]), column(n, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *columns], names=["bucket", "sizes", "whole", "ids", "n"])
+
+
+def _unpacked(rows: pa.Table | pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (0 behind a suffix's end), counts and ``whole`` of every suffix."""
+    sizes, whole, ids, n = (b"".join(rows.column(c).to_pylist()) for c in ("sizes", "whole", "ids", "n"))
+    sizes = np.frombuffer(sizes, dtype=np.uint8)
+    held = np.zeros((len(sizes), LONGEST + 1), dtype=kind)
+    held[np.arange(LONGEST + 1) < sizes[:, None]] = np.frombuffer(ids, dtype=kind)
+    return held, np.frombuffer(n, dtype=np.int64), np.frombuffer(whole, dtype=np.uint8).astype(np.int32)
 
 
 def multikey_counts(ids: np.ndarray, n: np.ndarray, whole: np.ndarray, least: int) -> tuple[list, list, list]:
@@ -186,38 +271,45 @@ def multikey_counts(ids: np.ndarray, n: np.ndarray, whole: np.ndarray, least: in
 
 
 def mine(dealt: DataFrame, words: WordTable, least: int) -> DataFrame:
-    """(phrase as hashes, a) of the phrases of two words and more in routed suffixes, sorted by route."""
+    """(phrase as hashes, a) of the phrases of two words and more in routed suffixes, sorted by bucket."""
     table = share(dealt, words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table.value
         kind = np.dtype(np.uint32 if words.complete else np.uint64)
         held, total = [], 0
-        for batch in batches:
-            held.append(batch)
-            total += batch.num_rows
+        for part, size in _few_at_a_time(batches):
+            held.append(part)
+            total += size
             if total < BUFFER:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
-            route = rows["route"].to_numpy()
-            upto = int(np.searchsorted(route, route[-1]))  # the last route may go on in the next batch
+            bucket = rows["bucket"].to_numpy()
+            upto = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
             if upto:
                 yield from _mined(rows.slice(0, upto), kind, words, least)
-            held, total = rows.slice(upto).to_batches(), rows.num_rows - upto
+            rest = rows.slice(upto)
+            held, total = rest.to_batches(), pc.sum(pc.binary_length(rest["sizes"])).as_py() or 0
         if total:
             yield from _mined(pa.Table.from_batches(held).combine_chunks(), kind, words, least)
 
-    return dealt.select("route", "whole", "ids", "n").mapInArrow(count, "phrase array<bigint>, a bigint")
+    return dealt.mapInArrow(count, "phrase array<bigint>, a bigint")
+
+
+def _few_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Batches cut into runs of rows with about ``BUFFER`` suffixes, and the number of these."""
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.binary_length(batch.column("sizes"))).astype(np.int64))
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = max(int(np.searchsorted(upto, before + BUFFER, side="right")), start + 1)
+            yield batch.slice(start, end - start), int(upto[end - 1]) - before
+            start, before = end, int(upto[end - 1])
 
 
 def _mined(rows: pa.Table, kind: np.dtype, words: WordTable, least: int) -> Iterator[pa.RecordBatch]:
-    column = rows["ids"].combine_chunks()
-    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-    blob = b"".join(column.to_pylist())
-    sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]) // kind.itemsize
-    ids = np.zeros((len(sizes), LONGEST + 1), dtype=kind)
-    ids[np.arange(LONGEST + 1) < sizes[:, None]] = np.frombuffer(blob, dtype=kind)
-    at, depths, found = multikey_counts(ids, rows["n"].to_numpy(), rows["whole"].to_numpy(), least)
+    ids, n, whole = _unpacked(rows, kind)
+    at, depths, found = multikey_counts(ids, n, whole, least)
     if at:
         at, depths = np.array(at), np.array(depths, dtype=np.int32)
         flat = words.names(ids[at][np.arange(LONGEST + 1) < depths[:, None]])
@@ -233,11 +325,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, table_words: int = TAB
     frequent = stored(counted.where(F.col("f") >= least))
     words = word_table(frequent, table_words)
     spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     if route_rows is None:
         total = totals.agg(F.sum("n")).first()[0] or 0
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         route_rows = max(ROUTE_ROWS, total // (TASK_SHARE * tasks))
-    dealt = suffixes(docs, words, route_rows).repartition("route").sortWithinPartitions("route")
+    near = pair_counts(docs, words).where(F.col("n") >= least)
+    dealt = suffixes(docs, words, id_bitmap(near, "pair", PAIR_SLOTS), route_rows, TASK_SHARE * tasks)
+    # buckets are dealt in turn, as many to each task
+    dealt = dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
     parts = mine(dealt, words, least)
     longer = parts.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     single = frequent.select(F.array("h").alias("phrase"), F.col("f").alias("a"))
@@ -271,7 +366,12 @@ def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, table_wo
     exact = "cast((cast(1000 as decimal(4)) * cast(a as decimal(19)) * cast(n as decimal(15))) div (cast(l as decimal(19)) * cast(r as decimal(19))) as bigint)"
     best = both.groupBy("lang", "text", "a", "n").agg(F.min(F.struct(F.expr(exact).alias("score"), "k", "l", "r")).alias("cut"))
     scored = best.select("lang", F.col("text").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("bigint")
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # parts of a language first, so that one task never holds all of its phrases
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).alias("part")
+    ahead = scored.select("*", part).withColumn("_place", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order)))
+    scored = ahead.where(F.col("_place") <= kept).drop("_place", "part")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("bigint")
     return scored.withColumn("rank", rank).where(F.col("rank") <= kept).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

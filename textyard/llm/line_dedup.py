@@ -20,7 +20,8 @@ from textyard.llm.setjoin import Likeness, Units, profiles, rarity, shared_token
 def repeated_lines(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(doc_id, line) of the lines to remove, lines counted from 0.
 
-    Lines end at ``\\n``. A line with fewer words than a shingle says too little to be a copy and stays. Rows
+    Lines end at ``\\n``. A line with fewer words than a shingle has its whole sequence as one, so it goes where it stood before
+    word for word; one without words stays. Rows
     that share a doc_id are taken as one document given again: equal lines at equal places do not remove each
     other. Rows without doc_id or text keep all lines and remove none.
     """
@@ -54,13 +55,15 @@ def without_repeated_lines(docs: DataFrame, like: Likeness = Likeness()) -> Data
     A document of which nothing but white space remains, though it had words, is dropped: all it said is said
     earlier. Empty and null texts stay as they are, and so do all other columns.
     """
-    cut = repeated_lines(docs, like).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("_lines"))
-    joined = docs.join(few(stored(cut)), "doc_id", "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines")
+    gone = repeated_lines(docs, like).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    joined = whole.join(few(stored(gone)), "doc_id", "left")
+    lines = F.split(F.col("row.text"), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
-    out = out.where(F.col("_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    out = joined.withColumn("text", F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept))
+    out = out.where(F.col("lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))

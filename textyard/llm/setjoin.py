@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textyard.llm import shingles as sh
-from textyard.llm.common import id_bitmap, in_bitmap, integer_ids, list_array, share, slot_counts, text_slices
+from textyard.llm import shingles as sh, words as wd
+from textyard.llm.common import id_bitmap, in_bitmap, integer_ids, list_array, share, text_slices
 
 # Counters of the rarity table (power of two): 8 MB when shared.
 RARITY_SLOTS = 1 << 20
+# Counters shuffled as one value.
+COUNTER_RUN = 1 << 12
 # Ids that a task remembers, to send the prefix of a set it has sent already only once.
 SEEN_LIMIT = 1 << 18
 # A prefix token with at most this many occurrences is grouped in one task; the counters only overstate.
@@ -52,24 +54,24 @@ class Likeness:
 
 @dataclass(frozen=True)
 class Units:
-    """How texts are cut into units, and the fewest words of a unit that takes part."""
+    """How texts are cut into units: whole texts, or lines. One with fewer words than a shingle has them all as one."""
 
     like: Likeness
     lines: bool
 
     def shingles(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Shingles and their unit; the row and the number (in its text) of each unit."""
-        if self.lines:
-            cut = [b.split(b"\n") for b in blobs]
-            sizes = np.array([len(c) for c in cut], dtype=np.int64)
-            row = np.repeat(np.arange(len(blobs)), sizes)
-            number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            units = [line for c in cut for line in c]
-        else:
-            units, row, number = blobs, np.arange(len(blobs)), np.zeros(len(blobs), dtype=np.int64)
-        hashes, owner = sh.word_hashes(units)
-        tokens, who = sh.shingles(hashes, owner, self.like.words, short=not self.lines)
-        return tokens, who, row, number
+        if not self.lines:
+            hashes, owner = sh.word_hashes(blobs)
+            tokens, who = sh.shingles(hashes, owner, self.like.words)
+            return tokens, who, np.arange(len(blobs)), np.zeros(len(blobs), dtype=np.int64)
+        joined = b"\n".join(blobs)
+        ends = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10)
+        hashes, start = wd.gathered(wd.scan([joined], lower=True), ("hashes", "start"))
+        tokens, who = sh.shingles(hashes, np.searchsorted(ends, start), self.like.words)
+        sizes = np.array([b.count(b"\n") + 1 for b in blobs], dtype=np.int64)
+        row = np.repeat(np.arange(len(blobs)), sizes)
+        return tokens, who, row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def rarity(docs: DataFrame, units: Units, slots: int = RARITY_SLOTS) -> np.ndarray:
@@ -81,10 +83,27 @@ def rarity(docs: DataFrame, units: Units, slots: int = RARITY_SLOTS) -> np.ndarr
             for _, blobs in text_slices(batch, 1):
                 tokens, *_ = units.shingles(blobs)
                 total += np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
+        yield from blocks({i: total[i * width : (i + 1) * width] for i in range(slots // width)})
 
-    return slot_counts(docs.mapInArrow(count, "slot int, n bigint"), slots)
+    def blocks(sums):
+        """A run of counters as one value: it is shuffled and added as a whole."""
+        used = {i: v for i, v in sums.items() if v.any()}
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array(list(used), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in used.values()])], ["block", "counts"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(blob, dtype="<i8")
+        yield from blocks(sums)
+
+    width, schema = min(COUNTER_RUN, slots), "block int, counts binary"
+    summed = docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    out = np.zeros(slots, dtype=np.int64)
+    for i, blob in zip(summed["block"].to_pylist(), summed["counts"].to_pylist()):
+        out[i * width : (i + 1) * width] = np.frombuffer(blob, dtype="<i8")
+    return out
 
 
 def profiles(docs: DataFrame, units: Units, counts: np.ndarray) -> DataFrame:

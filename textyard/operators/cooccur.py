@@ -18,6 +18,8 @@ from textyard.sources.tables import with_tokens
 SCALE = 1 << 16
 # Dimensions that one md5 prefix gives signs for.
 BITS = 4 * HEX_DIGITS
+# Columns summed at a time.
+WIDE = 50
 # Tokens of a text paired at a time; pairs across the cuts are kept.
 RUN = 4_096
 
@@ -72,10 +74,24 @@ def word_pmi(pairs: DataFrame, size: int) -> DataFrame:
     return met.select("a", "b", "n", F.log(count * total / chance).alias("pmi")).where("pmi > 0")
 
 
-def sum_columns(rows: DataFrame, by: list[str], weights: list[Column]) -> DataFrame:
-    """The sums of many whole-number columns per group, as one array ``sums``."""
-    wide = rows.groupBy(*by).agg(*[F.sum(w).alias(f"_{i}") for i, w in enumerate(weights)])
-    return wide.select(*by, F.array(*[f"_{i}" for i in range(len(weights))]).alias("sums"))
+def sum_arrays(rows: DataFrame, by: list[str], vector: str, dim: int, weight: Column | None = None, wide: int = WIDE) -> DataFrame:
+    """Element sums of an array column per group, as ``sums``, and the number of rows (or the sum of weights) as ``times``.
+
+    An array is summed in parts of ``wide`` columns: more columns than Spark compiles in one go would be interpreted. Rows
+    that come partitioned by the group are not shuffled again.
+    """
+    one = F.lit(1).cast("bigint") if weight is None else weight
+    parts = [F.struct(F.lit(j).alias("_part"), F.slice(vector, j * wide + 1, wide).alias("_v")) for j in range(math.ceil(dim / wide))]
+    each = rows.select(*by, one.alias("_w"), F.inline(F.array(*parts)))
+    value = [F.coalesce(F.sum(F.get("_v", F.lit(i)) * F.col("_w")), F.lit(0)) for i in range(min(wide, dim))]
+    return _joined_parts(each.groupBy(*by, "_part").agg(F.sum("_w").alias("times"), *[v.alias(f"_{i}") for i, v in enumerate(value)]), by, min(wide, dim), dim)
+
+
+def _joined_parts(sums: DataFrame, by: list[str], wide: int, dim: int) -> DataFrame:
+    """Sums of the parts of an array, put together in their order."""
+    cells = sums.select(*by, "times", F.struct("_part", F.array(*[f"_{i}" for i in range(wide)]).alias("v")).alias("_p"))
+    whole = cells.groupBy(*by).agg(F.max("times").alias("times"), F.array_sort(F.collect_list("_p")).alias("_p"))
+    return whole.select(*by, "times", F.slice(F.flatten("_p.v"), 1, dim).alias("sums"))
 
 
 def sign_bits(word: str, dim: int, seed: int) -> list[Column]:
@@ -88,10 +104,15 @@ def project(pmi: DataFrame, vocabulary: DataFrame, size: int, dim: int, seed: in
     weight = F.round(F.col("pmi") * SCALE).cast("bigint")
     rows = _both_ways(pmi.select("a", "b", weight.alias("q")), "q")
     bits = sign_bits("context", dim, seed)
-    words = vocabulary.select(F.col("word").alias("context")).select("context", *[b.alias(f"_b{j}") for j, b in enumerate(bits)])
-    signed = lookup_join(rows, words, "context", size + 8 * len(bits) * max(size // 64, 1))
-    sign = [F.shiftright(F.col(f"_b{d // BITS}"), d % BITS).bitwiseAND(F.lit(1).cast("bigint")) * 2 - 1 for d in range(dim)]
-    sums = sum_columns(signed, ["word"], [F.col("q") * s for s in sign])
+    words = vocabulary.select(F.col("word").alias("context")).select("context", F.array(*bits).alias("bits"))
+    signed = lookup_join(rows, words, "context", size + 8 * (len(bits) + 2) * max(size // 64, 1))
+    # narrow rows are shuffled, not the wide sums; a word has at most as many of them as there are words
+    each = signed.select("word", "q", "bits").repartition("word").select("word", "q", F.posexplode("bits").alias("_part", "b"))
+    wide = min(BITS, dim)
+    # the sum with signs is twice the sum of the positive ones less the sum of all
+    up = [F.sum(F.col("q") * F.shiftright("b", i).bitwiseAND(F.lit(1).cast("bigint"))) for i in range(wide)]
+    parts = each.groupBy("word", "_part").agg(F.sum("q").alias("times"), *[u.alias(f"_{i}") for i, u in enumerate(up)])
+    sums = _joined_parts(parts, ["word"], wide, dim).select("word", F.transform("sums", lambda x: 2 * x - F.col("times")).alias("sums"))
     zeros = F.array_repeat(F.lit(0).cast("bigint"), dim)
     return vocabulary.select("word").join(sums, "word", "left").select("word", F.coalesce("sums", zeros).alias("fixed"))
 

@@ -91,14 +91,13 @@ def summary(rows: DataFrame, terms: str, capacity: int) -> DataFrame:
     return level.select("term", "n", "error")
 
 
-def _exact(rows: DataFrame, terms: str, wanted: DataFrame) -> DataFrame:
+def _exact(rows: DataFrame, terms: str, wanted: DataFrame, size: int) -> DataFrame:
     """``tf`` and ``df`` of the wanted terms; no other term is shuffled."""
     sides = F.array(
         F.struct(F.col(terms).alias("terms"), F.lit(1).alias("t"), F.lit(0).alias("d")),
         F.struct(F.array_distinct(terms).alias("terms"), F.lit(0).alias("t"), F.lit(1).alias("d")),
     )
     each = rows.select(F.inline(sides)).select(F.explode("terms").alias("term"), "t", "d")
-    size = wanted.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
     near = F.broadcast(wanted) if size <= BROADCAST_BUDGET else wanted
     return each.join(near, "term", "left_semi").groupBy("term").agg(F.sum("t").alias("tf"), F.sum("d").alias("df"))
 
@@ -114,11 +113,10 @@ def frequent_terms(rows: DataFrame, terms: str, k: int, min_df: int = 1, width:
     capacity = max(width * k, 1)
     while capacity <= largest:
         found = cut_lineage(summary(rows, terms, capacity))
-        error = found.agg(F.max("error")).first()[0] or 0
-        listed = found.where("term is not null")
-        if error == 0 or listed.count() >= k:
-            exact = cut_lineage(_exact(rows, terms, listed.select("term")))
-            if error == 0:
+        error, n, size = found.agg(F.max("error"), F.count("term"), F.sum(F.octet_length("term") + 64)).first()
+        if not error or n >= k:
+            exact = cut_lineage(_exact(rows, terms, found.where("term is not null").select("term"), size or 0))
+            if not error:
                 return exact
             kept = exact.where(F.col("df") >= min_df).orderBy(F.desc("tf")).limit(k)
             last, size = kept.agg(F.min("tf"), F.count(F.lit(1))).first()

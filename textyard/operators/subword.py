@@ -11,9 +11,9 @@ from textyard.functions import text as tx
 from textyard.functions.hashing import BUCKET_FUNCTIONS
 from textyard.operators import cooccur
 from textyard.operators.contract import Model, Vectorizer
-from textyard.operators.pooling import mean_pool
+from textyard.operators.pooling import mean_pool, table_bytes
 from textyard.operators.wordvec import trained_words
-from textyard.session import cut_lineage, fan_out
+from textyard.session import cut_lineage, fan_out, lookup_join
 from textyard.sources.tables import token_rows, with_tokens
 
 SEED = 42
@@ -102,12 +102,15 @@ class SubwordModel(Model):
         return self.pool(corpus, row_id).withColumn("features", array_to_vector("vector")).drop("vector")
 
 
-def bucket_vectors(words: DataFrame, buckets: int, dim: int, low: int, high: int, hashing: str) -> DataFrame:
-    """``(bucket, vector)``: the mean over the n-grams in a bucket of the vectors ``(word, fixed)`` of their words."""
-    grams = fan_out(words).select("fixed", F.explode(gram_buckets("word", buckets, low, high, hashing)).alias("bucket"))
-    one = F.lit(1).cast("bigint")
-    sums = cooccur.sum_columns(grams, ["bucket"], [one, *[F.get("fixed", F.lit(i)) for i in range(dim)]])
-    return sums.select("bucket", cooccur.unfix(F.slice("sums", 2, dim), dim, F.col("sums")[0]).alias("vector"))
+def bucket_vectors(words: DataFrame, n: int, buckets: int, dim: int, low: int, high: int, hashing: str) -> DataFrame:
+    """``(bucket, vector)``: the mean over the n-grams in a bucket of the vectors of their words, ``n`` rows ``(word, fixed)``.
+
+    Words meet their buckets before they get their vectors, so what is shuffled is narrow.
+    """
+    grams = fan_out(words.select("word")).select("word", F.explode(gram_buckets("word", buckets, low, high, hashing)).alias("bucket"))
+    found = lookup_join(grams.repartition("bucket"), words.select("word", "fixed"), "word", table_bytes(n, dim))
+    sums = cooccur.sum_arrays(found, ["bucket"], "fixed", dim)
+    return sums.select("bucket", cooccur.unfix(F.col("sums"), dim, F.col("times")).alias("vector"))
 
 
 @dataclass
@@ -129,6 +132,6 @@ class SubwordCoOccurrence(Vectorizer):
 
     def fit(self, corpus: DataFrame) -> SubwordModel:
         own, n = trained_words(corpus, self.vector_size, self.window, self.min_count, self.seed)
-        table = cut_lineage(bucket_vectors(own, self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing))
+        table = cut_lineage(bucket_vectors(own, n, self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing))
         words = own.select("word", cooccur.unfix(F.col("fixed"), self.vector_size).alias("vector"))
         return SubwordModel(self.name, words, table, n, table.count(), self.buckets, self.vector_size, self.min_n, self.max_n, self.hashing)

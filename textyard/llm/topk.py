@@ -10,6 +10,8 @@ bound get their exact integer product. The bounds have room for rounding, so pru
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,12 +24,13 @@ K = 10
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 CHUNK = 512
-# Products above this would not be exact in doubles.
+# Products above this are not exact in doubles; they are summed in whole numbers then.
 EXACT = float(1 << 53)
+LONG = float(1 << 63)
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, x, norm) with x = floor(scale * component); for exact products norms are limited to 2**26.5."""
+    """(vec_id, x, norm) with x = floor(scale * component) as whole doubles."""
     rows = sound(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("x")).where("vec_id is not null"), "x")
     rows = rows.withColumn("x", F.transform("x", lambda v: F.floor(v * F.lit(float(scale))).cast("double")))
     return rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
@@ -61,7 +64,15 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, ids: np.ndarray
     q_rest, x_rest = np.linalg.norm(qr[:, head:], axis=1), np.linalg.norm(xr[:, head:], axis=1)
     slack = 1e-9 * q_norm * (x_norm.max() if len(x_norm) else 0) + 1e-6
     bound = bound.copy()
-    who, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    who, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = len(q) and len(x) and float(q_norm.max()) * float(x_norm.max()) >= EXACT
+    if large:
+        if max(np.abs(q).max(), np.abs(x).max()) >= LONG:
+            raise ValueError("a component leaves the range of a long")
+        # whole numbers wrap around, so a sum is exact whenever the score itself is in range
+        q_whole, x_whole = q.astype(np.int64), x.astype(np.int64)
+    else:
+        q_whole, x_whole = q, x
     for start in range(0, len(x), CHUNK):
         part = slice(start, start + CHUNK)
         live = np.flatnonzero(q_norm * x_norm[part].max() + slack >= bound)
@@ -72,8 +83,11 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, ids: np.ndarray
         a, b = live[a], b + start
         other = q_ids[a] != ids[b]
         a, b = a[other], b[other]
-        exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-        reach = exact >= bound[a]
+        exact = np.concatenate([np.einsum("ij,ij->i", q_whole[a[i : i + 65536]], x_whole[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
+        if large and (np.abs(np.einsum("ij,ij->i", q[a], x[b])) >= LONG * (1 - 1e-9)).any():
+            raise ValueError("a score leaves the range of a long")
+        exact = exact.astype(np.int64)
+        reach = exact >= bound[a] - (slack[a] if large else 0)
         who, found, score = np.concatenate([who, a[reach]]), np.concatenate([found, ids[b[reach]]]), np.concatenate([score, exact[reach]])
         order = np.lexsort((found, -score, who))
         who, found, score = who[order], found[order], score[order]
@@ -91,13 +105,26 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = 100, scale:
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows with another vec_id; ties go
     to the smaller vec_id. Vectors that are null or hold null or non-finite components take no part, nor do those
-    of an uncommon length or without vec_id. Of rows that share a vec_id the smallest vector is the query, and
-    each row is a candidate. Zero vectors take part. Columns besides vec_id and embedding are not read.
+    without vec_id. Vectors of one length are searched together, each length by itself. Of rows that share a vec_id and a
+    length the smallest vector is the query, and each row is a candidate. Zero vectors take part. A score beyond the range of a long is an
+    error. Columns besides vec_id and embedding are not read.
     """
-    rows = stored(quantised(vectors, scale))
-    if rows.where(F.col("norm") * F.col("norm") >= EXACT).limit(1).count():
-        raise ValueError("components are too large for exact integer products")
-    axes = share(vectors, rotation(rows))
+    every_row = stored(quantised(vectors, scale).withColumn("d", F.size("x")))
+    lengths = [r["d"] for r in every_row.select("d").distinct().orderBy("d").collect()]
+    found = [_search_length(every_row.where(F.col("d") == d).drop("d"), k, every) for d in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    if len(found) == 1:
+        return found[0]
+    # of a vec_id with vectors of several lengths all candidates are ranked together
+    scored = reduce(DataFrame.unionByName, found).drop("rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """The search among vectors of one length."""
+    axes = share(rows, rotation(rows))
     sized = rows.select("vec_id", "x", "norm")
     total = rows.count()
     blocks = max(1, -(-total // BLOCK_ROWS))
@@ -128,7 +155,7 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = 100, scale:
     # one block of bounded size meets every query pack
     aimed = stored(queries.join(F.broadcast(first)).mapInArrow(bounds, "pack bigint, rows int, q_ids binary, q binary, bound binary, reach double")) if count else None
     if aimed is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     lengths = packed.select("block", "top")
     wanted = aimed.select("pack", "reach", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block")).join(lengths, "block").where("top >= reach").select("pack", "block")
     pairs = wanted.join(aimed, "pack").join(packed.select("block", F.col("rows").alias("b_rows"), F.col("vec_id").alias("ids"), F.col("x").alias("xs")), "block")

@@ -10,6 +10,8 @@ for its pack and shard, how many links a vector has and a spanning forest of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -138,11 +140,13 @@ class Graph:
             value = np.where(every >= 0, np.einsum("bcd,bd->bc", self.x[every], self.x[node[part]]), -np.inf)
             links[node[part]] = diverse(self.x, *greatest_first(every, value, 2 * m), m)
 
-    def within(self, q: np.ndarray, least: float, width: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least ``least`` similarity: the beam's, and those reached through pairs of least - slack."""
+    def within(self, q: np.ndarray, least: float, width: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs of at least ``least`` similarity: the beam's, and those reached through pairs of least - slack;
+        and which queries have a beam full of them: these lie in a dense group, and are left to the exact product."""
         ids, sims = self.descend(q, min(width, len(self.x)))
+        full = ((ids >= 0) & (sims >= least)).all(axis=1)
         seen = np.zeros((len(q), len(self.x)), dtype=bool)
-        a, b = np.nonzero((ids >= 0) & (sims >= least - slack))
+        a, b = np.nonzero((ids >= 0) & (sims >= least - slack) & ~full[:, None])
         who, node, value = a, ids[a, b], sims[a, b]
         seen[who, node] = True
         found = [(who, node, value)]
@@ -158,28 +162,44 @@ class Graph:
             go = value >= least - slack
             who, node, value = who[go], node[go], value[go]
             found.append((who, node, value))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), full
+
 
+def links_of(ids_q: np.ndarray, q: np.ndarray, graph: Graph, exact: np.ndarray, cosine: float, recall: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified (query, node) pairs, in runs of bounded size.
 
-def links_of(ids_q: np.ndarray, q: np.ndarray, graph: Graph, exact: np.ndarray, cosine: float, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Verified (query, node) pairs, and the beam that passed the audit (0: all compared)."""
+    Beams widen until an audit of some queries against all nodes finds ``recall`` of their links. Queries whose beam holds nothing
+    but links have more of them than a walk of the graph finds cheaply: they are compared with all nodes, block by block.
+    """
     rough = cosine - 1e-5
     audit = np.flatnonzero(ids_q % AUDIT_SHARE == 0)
     audit = audit if len(audit) >= 32 else np.arange(min(len(q), 32))
-    true = q[audit] @ exact.T >= cosine
-    width, slack = SEARCH_BEAM, 0.01
+    true = np.zeros(len(q), dtype=np.int64)
+    true[audit] = (q[audit] @ exact.T >= cosine).sum(axis=1)
+    audited = np.zeros(len(q), dtype=bool)
+    audited[audit] = True
+    width, slack, left = SEARCH_BEAM, 0.01, np.arange(len(q))
     q32 = q.astype(np.float32)
-    while width < len(exact):
-        who, node = graph.within(q32, rough, width, slack)
+    while width < len(exact) and len(left):
+        who, node, full = graph.within(q32[left], rough, width, slack)
+        who = left[who]
+        yield from compared(left[full], q, exact, cosine)
+        left = left[~full]
         value = np.concatenate([np.einsum("kd,kd->k", q[who[i : i + 65536]], exact[node[i : i + 65536]]) for i in range(0, len(who), 65536)] or [np.zeros(0)])
         who, node = who[value >= cosine], node[value >= cosine]
-        hit = np.zeros((len(q), 1), dtype=np.int64)
-        np.add.at(hit[:, 0], who, 1)
-        if hit[audit, 0].sum() >= recall * true.sum():
-            return who, node, width
+        if audited[who].sum() >= recall * true[left].sum():
+            yield who, node
+            return
         width, slack = 2 * width, 2 * slack
-    pairs = [np.nonzero(q[i : i + 256] @ exact.T >= cosine) for i in range(0, len(q), 256)]
-    return np.concatenate([p[0] + 256 * i for i, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs]), 0
+    yield from compared(left, q, exact, cosine)
+
+
+def compared(rows: np.ndarray, q: np.ndarray, exact: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of some queries by comparison with all nodes."""
+    for i in range(0, len(rows), 128):
+        part = rows[i : i + 128]
+        a, b = np.nonzero(q[part] @ exact.T >= cosine)
+        yield part[a], b
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,16 +223,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS, recall: float = RECALL) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Only vectors of one label, which is not null, are compared. Vectors that are null, zero, hold null or
-    non-finite components or have an uncommon length link with nothing, nor does a row without vec_id (its
-    component is null). Equal vectors are searched once, and each counts as a link of the others. Rows that
+    Only vectors of one label, which is not null, and one length are compared. Vectors that are null, zero, or hold null or
+    non-finite components link with nothing, nor does a row without vec_id (its component is null). Equal vectors are searched once, and each counts as a link of the others. Rows that
     share a vec_id are one node with the links of all of them. Columns besides vec_id, embedding and label are
     not read.
     """
     named = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("x"), F.col("label").alias("label"))
     rows = sound(named.where("vec_id is not null and label is not null"), "x")
+    # scaled by the largest component, so that no square overflows or vanishes
+    top = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    rows = rows.withColumn("_t", top).where("_t > 0").withColumn("x", F.transform("x", lambda v: v / F.col("_t"))).drop("_t")
+    rows = rows.withColumn("label", F.to_json(F.struct(F.size("x").alias("d"), "label")))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    rows = rows.withColumn("_n", norm).where("_n > 0 and _n < double('infinity')").drop("_n")
     groups = stored(rows.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     members = stored(rows.join(groups, ["label", "x"]).select("vec_id", "node", "copies"))
     # a vec_id may stand for several vectors: nodes of the search are then told apart by label and vector
@@ -244,11 +266,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int
                 q, x = unpack(r["q"], rows=r["q_rows"]), unpack(r["xs"], rows=r["size"])
                 graph = Graph(x, [unpack(g, "<i4", r["size"]).astype(np.int64) for g in r["layers"]])
                 graph.entry = r["entry"]
-                who, node, _ = links_of(q_ids, q, graph, x, cosine, recall)
-                real = q_ids[who] != ids[node]
-                who, node = who[real], node[real]
-                links = np.bincount(who, unpack(r["weights"], "<i8")[node], minlength=len(q_ids)).astype(np.int64)
-                on, root = forest(q_ids[who], ids[node])
+                weights, links = unpack(r["weights"], "<i8"), np.zeros(len(q_ids), dtype=np.int64)
+                on, root = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                for who, node in links_of(q_ids, q, graph, x, cosine, recall):
+                    real = q_ids[who] != ids[node]
+                    who, node = who[real], node[real]
+                    links += np.bincount(who, weights[node], minlength=len(q_ids)).astype(np.int64)
+                    # of many links only the trees they form are kept
+                    on, root = forest(np.concatenate([on, q_ids[who]]), np.concatenate([root, ids[node]]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q_ids, on])), pa.array(np.concatenate([links, np.zeros(len(on), np.int64)])), pa.array(np.concatenate([q_ids, root]))], ["node", "links", "root"])
 
     found = stored(pairs.mapInArrow(search, "node bigint, links bigint, root bigint"))

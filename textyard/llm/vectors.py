@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def sound(vectors: DataFrame, column: str) -> DataFrame:
-    """Rows whose vector and all its components are given and finite, and of the commonest length (ties: the longer).
-
-    Vectors of other lengths cannot be compared with the rest and take no part. Components become doubles.
-    """
+    """Rows whose vector and all its components are given and finite, as doubles. Vectors of different lengths cannot be
+    compared; callers keep them apart by ``size``."""
     good = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     rows = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).where(good)
-    top = rows.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    width = top[0]["d"] if top else 0
-    return rows.where(F.size(column) == width).withColumn(column, F.transform(column, lambda v: v.cast("double")))
+    return rows.withColumn(column, F.transform(column, lambda v: v.cast("double")))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

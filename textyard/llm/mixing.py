@@ -1,7 +1,7 @@
 """Mixing sources to target weights with Sainte-Laguë apportionment of equal-token blocks.
 
 Targets follow the weights, no source above ``REPEATS`` times its words. The mix is counted in blocks of
-``BLOCK`` words: blocks go to sources, and a source's blocks to its shards, by highest quotients, which gives
+``BLOCK`` words, that of small sources word by word: blocks go to sources, and a source's blocks to its shards, by highest quotients, which gives
 whole quotas that sum up exactly. A shard lays its documents end to end in a seeded order; its quota is made
 of whole passes over the shard and of a seeded choice of its blocks. Words of the chosen blocks are taken.
 Everything is a window or a join over small rows; texts do not move.
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from textyard.llm.common import stored
 
 BLOCK = 64
+# Sources of a smaller target, in blocks, are counted in single words.
+COARSE = 64
 SHARD = 1 << 22
 REPEATS = 3
 SEED = 17
@@ -92,38 +94,41 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SE
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key))
-    house = F.greatest(F.expr(f"(2 * total + {block}) div {2 * block}"), F.lit(1))
-    quotas = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("house", house)
-    quotas = sainte_lague(quotas.withColumn("all", F.lit(0)), ["all"], "rank", "target", "total", "house")
-    quotas = stored(quotas.select("source", "source_size", "rank", "target", F.col("seats").alias("quota"), F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).alias("shards")))
+    quotas = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    quotas = quotas.withColumn("unit", F.when(F.col("target") < COARSE * block, 1).otherwise(block).cast("bigint"))
+    alike = Window.partitionBy("unit")
+    quotas = quotas.withColumn("total", F.sum("target").over(alike)).withColumn("house", F.greatest(F.round(F.col("total") / F.col("unit")), F.lit(1)).cast("bigint"))
+    quotas = sainte_lague(quotas, ["unit"], "rank", "target", "total", "house")
+    quotas = stored(quotas.select("source", "source_size", "rank", "target", "unit", F.col("seats").alias("quota"), F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).alias("shards")))
     named = quotas.withColumnRenamed("source", "_source")
     if quotas.count() <= FEW_SOURCES:
         named = F.broadcast(named)
-    placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), "shards"))
+    known = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # texts without words take nothing and would crowd one place of a shard's line
+    placed = known.where("size > 0").withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), "shards"))
     line = Window.partitionBy("rank", "shard")
     placed = stored(
         placed.withColumn("stop_at", F.sum("size").over(line.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("start_at", F.col("stop_at") - F.col("size"))
         .drop("key", "shards")
     )
-    shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
+    shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"), F.first("unit").alias("unit"))
     shards = sainte_lague(shards, ["rank"], "shard", "words", "source_size", "quota")
-    n = F.expr(f"(words + {block - 1}) div {block}")
+    n = F.expr("(words + unit - 1) div unit")
     shards = shards.withColumn("blocks", n).withColumn("seats", F.least("seats", REPEATS * F.col("blocks")))
     shards = stored(shards.where("blocks > 0").select("rank", "shard", "blocks", F.expr("seats div blocks").alias("passes"), F.expr("seats % blocks").alias("extra")))
     drawn = shards.where("extra > 0").select("rank", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     ticket = F.md5(F.concat_ws(":", F.lit(str(seed)), "rank", "shard", "block"))
     drawn = drawn.withColumn("r", F.row_number().over(line.orderBy(ticket, "block"))).where("r <= extra").select("rank", "shard", "block", F.lit(True).alias("drawn"))
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start_at div {block}, (stop_at - 1) div {block})")))
+    pieces = placed.withColumn("block", F.explode(F.expr("sequence(start_at div unit, (stop_at - 1) div unit)")))
     met = pieces.join(drawn, ["rank", "shard", "block"], "left")
-    span = F.struct((F.greatest(F.col("block") * block, "start_at") - F.col("start_at")).alias("from"), (F.least((F.col("block") + 1) * block, F.col("stop_at")) - F.col("start_at")).alias("to"))
+    span = F.struct((F.greatest(F.col("block") * F.col("unit"), "start_at") - F.col("start_at")).alias("from"), (F.least((F.col("block") + 1) * F.col("unit"), F.col("stop_at")) - F.col("start_at")).alias("to"))
     spans = F.array_sort(F.collect_list(F.when(F.col("drawn"), span)))
     by_doc = met.groupBy("rank", "shard", "start_at", "doc_id", "source", "size", "source_size", "target").agg(spans.alias("ranges"))
     by_doc = by_doc.join(shards.select("rank", "shard", "passes"), ["rank", "shard"], "left")
     picked = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["to"] - x["from"])
     out = by_doc.withColumn("taken", F.coalesce(F.col("passes"), F.lit(0)) * F.col("size") + picked)
-    empty = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("passes"), F.lit(None).cast(by_doc.schema["ranges"].dataType).alias("ranges"))
+    empty = known.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("passes"), F.lit(None).cast(by_doc.schema["ranges"].dataType).alias("ranges"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce("passes", F.lit(0).cast("bigint")).alias("passes"), "ranges").union(empty)
 
 
@@ -133,15 +138,16 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     without words stay once, as they take nothing from the mix."""
     names = docs.columns
     numbered = Window.partitionBy("doc_id").orderBy("source", "size")
-    chosen = plan(docs, **settings).withColumn("_no", F.row_number().over(numbered)).select("doc_id", "_no", "size", "passes", "ranges")
-    mine = docs.withColumn("_source", F.col("source").cast("string")).withColumn("size", word_count())
-    mine = mine.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_source", "size"))).drop("size", "_source")
-    chosen = chosen.withColumnsRenamed({"doc_id": "_id", "_no": "_n"})
-    joined = mine.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_no") == F.col("_n")))
+    chosen = plan(docs, **settings).withColumn("no", F.row_number().over(numbered)).select(F.col("doc_id").alias("id"), F.col("no").alias("n"), "passes", "ranges")
+    # the caller's columns may have any names: they stay in a struct until the end
+    mine = docs.select(F.struct(*names).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    mine = mine.withColumn("no", F.row_number().over(numbered))
+    joined = mine.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("no") == F.col("n")))
     whole = F.when(F.col("size") == 0, F.array(F.lit(None).cast(chosen.schema["ranges"].dataType))).otherwise(F.array_repeat(F.lit(None).cast(chosen.schema["ranges"].dataType), F.col("passes").cast("int")))
     part = F.when(F.size("ranges") > 0, F.array("ranges")).otherwise(F.array().cast(whole_type(chosen)))
-    rows = joined.withColumn("_part", F.explode(F.concat(whole, part)))
-    flat = rows.select(*names, F.transform("_part", lambda x: x["from"]).alias("_from"), F.transform("_part", lambda x: x["to"]).alias("_to"))
+    rows = joined.withColumn("part", F.explode(F.concat(whole, part)))
+    plain = [f"c{i}" for i in range(len(names))]
+    flat = rows.select(*(F.col("row").getField(n).alias(c) for n, c in zip(names, plain)), F.transform("part", lambda x: x["from"]).alias("since"), F.transform("part", lambda x: x["to"]).alias("until"))
     schema = flat.schema
     text = names.index("text")
 
@@ -157,8 +163,9 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
     out = flat.mapInArrow(cut, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_from").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(schema["n_chars"].dataType)))
-    return out.select(*names)
+        count = plain[names.index("n_chars")]
+        out = out.withColumn(count, F.when(F.col("since").isNull(), F.col(count)).otherwise(F.length(plain[text]).cast(schema[count].dataType)))
+    return out.select(*plain).toDF(*names)
 
 
 def whole_type(chosen: DataFrame) -> str:

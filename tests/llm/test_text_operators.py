@@ -24,6 +24,8 @@ def variants(seed, n):
         for _ in range(rng.choice((0, 0, 1, 1, 2, 4, 9))):
             mine[rng.randrange(len(mine))] = rng.choice(words)
         cut = rng.randrange(len(mine))
+        if rng.random() < 0.3:
+            mine[cut:cut] = ["\nSubscribe now please\n", "\nEnd\n"][: rng.randrange(3)]
         rows.append((i * 7 % 1009, " ".join(mine[:cut]) + "\n" + " ".join(mine[cut:]) + ("\n" + common if rng.random() < 0.4 else "")))
     return rows
 
@@ -44,7 +46,7 @@ def test_document_join_equals_brute_force(spark, words, percent):
 
 def test_line_dedup_equals_brute_force(spark):
     rows = variants(11, 120)
-    lines = {(i, j): word_set(line, 5, short=False) for i, t in rows for j, line in enumerate(t.split("\n"))}
+    lines = {(i, j): word_set(line, 5) for i, t in rows for j, line in enumerate(t.split("\n"))}
     order = sorted(k for k in lines if lines[k])
     want = {b for n, b in enumerate(order) if any(lines[a] == lines[b] or 100 * len(lines[a] & lines[b]) >= 80 * len(lines[a] | lines[b]) for a in order[:n])}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -63,9 +65,9 @@ def test_awkward_rows(spark, awkward):
     assert found[found.doc_id.isna()].component_id.isna().all()
     assert ngram_join.keep_one(awkward).columns == awkward.columns
     gone = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(awkward).collect()}
-    assert gone == {(2, 0), (3, 0), (10, 0), (10, 1)}
+    assert gone == {(2, 0), (3, 0), (7, 0), (10, 0), (10, 1)}
     cut = line_dedup.without_repeated_lines(awkward).toPandas()
-    assert 2 not in set(cut.doc_id) and cut[cut.doc_id == 10].text.item() == "last line of its own kind here" and len(cut) == 10
+    assert 2 not in set(cut.doc_id) and cut[cut.doc_id == 10].text.item() == "last line of its own kind here" and len(cut) == 9
     packed = packing.pack(awkward).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048 and (packed.doc_id == 5).sum() == 1
     plan = mixing.plan(awkward, block=4, shard=64).toPandas()
@@ -184,7 +186,132 @@ def test_licence_rules(spark):
     texts = ["Junk | junk\nReleased under the MIT License.", apache, "talk about the MIT License here.", "Licensed under CC BY-NC 4.0. This work is licensed under the GNU General Public License, version 3.", full]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas()
     assert set(zip(got.doc_id, got.licence, got.kind)) == {(0, "MIT", "notice"), (1, "Apache-2.0", "notice"), (3, "CC-BY-NC-4.0", "notice"), (3, "GPL-3.0", "notice"), (4, "GPL-3.0", "header")}
-    assert all(any(a in sentence for a in licences.ANCHORS) for sentence in licences.SENTENCES.values())
+    assert all(any(a in licences.SENTENCES[s] for s in rule for a in licences.ANCHORS) for _, _, rule in licences.RULES)
+    assert set(licences.SENTENCES) == {s for _, _, rule in licences.RULES for s in rule}
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2024 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Copyright (c) 2024, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+GNU = """This {thing} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+This {thing} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+"""
+GNU_TITLE = """                    GNU {kind}GENERAL PUBLIC LICENSE
+                       Version {date}
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.\n"
+BOOST = "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// http://www.boost.org/LICENSE_1_0.txt)\n"
+EPL = "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n"
+ZLIB = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n"
+
+
+def test_licence_texts_in_every_form(spark):
+    gnu = [("program", "", "3", "GPL-3.0"), ("program", "", "2", "GPL-2.0"), ("program", "Lesser ", "3", "LGPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("program", "Affero ", "3", "AGPL-3.0")]
+    titles = [("", "3, 29 June 2007", "GPL-3.0"), ("", "2, June 1991", "GPL-2.0"), ("LESSER ", "3, 29 June 2007", "LGPL-3.0"), ("LESSER ", "2.1, February 1999", "LGPL-2.1"), ("AFFERO ", "3, 19 November 2007", "AGPL-3.0")]
+    two = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :]
+    cases = [(MIT, "MIT", "text"), (APACHE, "Apache-2.0", "header"), (BSD, "BSD-3-Clause", "text"), (two, "BSD-2-Clause", "text"), (MPL, "MPL-2.0", "notice"), (ISC, "ISC", "text"), (UNLICENSE, "Unlicense", "text"), (BOOST, "BSL-1.0", "notice"), (EPL, "EPL-2.0", "notice"), (ZLIB, "Zlib", "text")]
+    cases += [(GNU.format(thing=t, kind=k, version=v), name, "header") for t, k, v, name in gnu]
+    cases += [(GNU_TITLE.format(kind=k, date=d), name, "text") for k, d, name in titles]
+    cases.append(("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0", "text"))
+    rows, want = [], set()
+    for text, licence, kind in cases:
+        hashed = "".join(f"# {line}".rstrip() + "\n" for line in text.splitlines())
+        starred = "/*\n" + "".join(f" * {line}".rstrip() + "\n" for line in text.splitlines()) + " */\nint x;\n"
+        rewrapped = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        forms = [text, "import os\n" + hashed, starred, "prose before. " + text, text.replace("\n", "\r\n")]
+        # a title that is one line with its date is no title
+        for form in forms if "PUBLIC LICENSE\n" in text or "January" in text else [*forms, rewrapped]:
+            want.add((len(rows), licence, kind))
+            rows.append((len(rows), form))
+    near = [MIT.replace("free of charge", "for a charge"), APACHE.replace("may not use", "may use"), BSD.replace("must retain", "need not retain"), MPL.replace("subject to", "not subject to"), GNU.format(thing="program", kind="", version="9"), ISC.replace("without fee", "without a fee"), "the MIT License and the BSD license are licenses of software"]
+    rows += [(1_000 + i, t) for i, t in enumerate(near)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.licence, r.kind) for r in licences.scan(docs).collect()}
+    assert {f for f in found if f[0] < 1_000} == want, (sorted(want - found), sorted(f for f in found - want if f[0] < 1_000))
+    assert not {f for f in found if f[0] >= 1_000}
+    plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_classifiers_learn(spark):

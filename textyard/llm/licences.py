@@ -12,53 +12,107 @@ from pyspark.sql import DataFrame, functions as F
 # Sentences of public licence texts and notices, normalised to lower-case words.
 SENTENCES = {
     "apache_notice": "licensed under the apache license version 2 0",
+    "apache_terms": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache_comply": "you may not use this file except in compliance with the license",
-    "apache_copy": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_copy": "you may obtain a copy of the license at",
+    "apache_url": "http www apache org licenses license 2 0",
+    "apache_as_is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache_see": "see the license for the specific language governing permissions and limitations under the license",
+    "apache_title": "apache license",
+    "apache_date": "version 2 0 january 2004",
     "mit_notice": "released under the mit license",
     "mit_licensed": "licensed under the mit license",
-    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit_keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit_warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit_liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd_use": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd_liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "gpl_title": "gnu general public license",
+    "lgpl_title": "gnu lesser general public license",
+    "agpl_title": "gnu affero general public license",
+    "gpl2_date": "version 2 june 1991",
+    "lgpl21_date": "version 2 1 february 1999",
+    "gpl3_date": "version 3 29 june 2007",
+    "agpl3_date": "version 3 19 november 2007",
+    "gnu_verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
     "gpl3_notice": "this work is licensed under the gnu general public license version 3",
     "gpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_details": "see the gnu general public license for more details",
+    "lgpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl_details": "see the gnu lesser general public license for more details",
+    "agpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl_details": "see the gnu affero general public license for more details",
     "cc_by_nc_notice": "licensed under cc by nc 4 0",
     "cc_by_notice": "licensed under cc by 4 0",
     "cc_by_sa_notice": "licensed under cc by sa 4 0",
     "cc0_notice": "this work is dedicated to the public domain under cc0 1 0",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl_subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "epl_terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "boost_notice": "distributed under the boost software license version 1 0",
+    "boost_title": "boost software license version 1 0 august 17th 2003",
+    "zlib_warranty": "this software is provided as is without any express or implied warranty",
+    "zlib_liability": "in no event will the authors be held liable for any damages arising from the use of this software",
 }
 # Licence, kind of evidence, and the sentences in their order.
 RULES = (
     ("Apache-2.0", "notice", ("apache_notice",)),
-    ("Apache-2.0", "header", ("apache_notice", "apache_comply", "apache_copy", "apache_see")),
+    ("Apache-2.0", "header", ("apache_notice", "apache_comply", "apache_copy", "apache_url", "apache_as_is", "apache_see")),
+    ("Apache-2.0", "header", ("apache_terms", "apache_copy", "apache_url", "apache_as_is", "apache_see")),
+    ("Apache-2.0", "text", ("apache_title", "apache_date")),
     ("MIT", "notice", ("mit_notice",)),
     ("MIT", "notice", ("mit_licensed",)),
-    ("MIT", "text", ("mit_grant", "mit_warranty", "mit_liability")),
+    ("MIT", "text", ("mit_grant", "mit_keep", "mit_warranty", "mit_liability")),
+    ("BSD-2-Clause", "text", ("bsd_use", "bsd_source", "bsd_binary", "bsd_warranty", "bsd_liability")),
+    ("BSD-3-Clause", "text", ("bsd_use", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty", "bsd_liability")),
     ("GPL-3.0", "notice", ("gpl3_notice",)),
     ("GPL-3.0", "header", ("gpl3_free", "gpl_hope", "gpl_details")),
     ("GPL-2.0", "header", ("gpl2_free", "gpl_hope", "gpl_details")),
+    ("LGPL-3.0", "header", ("lgpl3_free", "gpl_hope", "lgpl_details")),
+    ("LGPL-2.1", "header", ("lgpl21_free", "lgpl_hope", "lgpl_details")),
+    ("AGPL-3.0", "header", ("agpl3_free", "gpl_hope", "agpl_details")),
+    ("GPL-2.0", "text", ("gpl_title", "gpl2_date", "gnu_verbatim")),
+    ("GPL-3.0", "text", ("gpl_title", "gpl3_date", "gnu_verbatim")),
+    ("LGPL-2.1", "text", ("lgpl_title", "lgpl21_date", "gnu_verbatim")),
+    ("LGPL-3.0", "text", ("lgpl_title", "gpl3_date", "gnu_verbatim")),
+    ("AGPL-3.0", "text", ("agpl_title", "agpl3_date", "gnu_verbatim")),
     ("CC-BY-NC-4.0", "notice", ("cc_by_nc_notice",)),
     ("CC-BY-4.0", "notice", ("cc_by_notice",)),
     ("CC-BY-SA-4.0", "notice", ("cc_by_sa_notice",)),
     ("CC0-1.0", "notice", ("cc0_notice",)),
     ("ISC", "text", ("isc_grant",)),
     ("MPL-2.0", "notice", ("mpl_subject",)),
+    ("Unlicense", "text", ("unlicense_free",)),
+    ("EPL-2.0", "notice", ("epl_terms",)),
+    ("BSL-1.0", "notice", ("boost_notice",)),
+    ("BSL-1.0", "text", ("boost_title",)),
+    ("Zlib", "text", ("zlib_warranty", "zlib_liability")),
 )
-# Every known sentence has one of these words: texts without them are not cut.
+# Every rule has a sentence with one of these words: texts without them are not cut.
 ANCHORS = ("license", "software", "warranty", "cc0")
 BREAK = "\u0001"
-# in this order: comment marks at line starts; ends of sentences; line breaks that do not go on in lower case
+# in this order: a comment that follows other lines; comment marks at line starts and ends; points of abbreviations; links; ends of sentences; colons ahead of a
+# capital; line breaks that do not go on in lower case
 CUTS = (
-    (r"\n[ \t]*(#|//|\*|;|--)+[ \t]*", "\n"),
-    (r"([.!?])[ \t\r\n]+", r"$1" + BREAK),
-    (r"\n[ \t\r]*([^a-z \t\r])", BREAK + r"$1"),
+    (r"(^|\n)([^#/*; \t\r\n-][^\n]*)\n([ \t]*(/\*+|#|//))", "$1$2\n\n$3"),
+    (r"\n[ \t]*(/\*+|#|//|\*|;|--)+[ \t]*", "\n"),
+    (r"\b([vV]|[nN]o)\.[ \t\r\n]+", "$1 "),
+    (r"https?(://[^ \t\r\n]+)", BREAK + "http$1" + BREAK),
+    (r"([.!?])[ \t\r\n]+", "$1" + BREAK),
+    (r":[ \t\r\n]+([A-Z0-9])", BREAK + "$1"),
+    (r"\n[ \t\r]*([^a-z \t\r])", BREAK + "$1"),
 )
-WRAPPED = (*CUTS[:2], (r"\n[ \t\r]*\n", BREAK))
+WRAPPED = (*CUTS[:6], (r"\n[ \t\r]*\n", BREAK))
 
 
 def identifiers(text: str = "text"):
@@ -107,7 +161,7 @@ def scan_sql() -> str:
     def parts(cuts):
         text = "coalesce(text, '')"
         for pattern, by in cuts:
-            by = by.replace("$1", "\\1")
+            by = by.replace("$", "\\")
             shown = "'" + by.replace("\n", "' || chr(10) || '").replace(BREAK, "' || chr(1) || '") + "'"
             text = f"regexp_replace({text}, {quoted(pattern)}, {shown}, 'g')"
         return f"string_split(regexp_replace(lower({text}), '[^a-z0-9' || chr(1) || ']+', ' ', 'g'), chr(1))"

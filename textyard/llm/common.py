@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textyard.session import ensure_checkpoint_dir
@@ -33,17 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a null text is empty."""
     column = batch.column(text)
-    sizes = np.zeros(batch.num_rows, dtype=np.int64)
-    blobs = [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
-    sizes[:] = [len(b) for b in blobs]
-    start, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > limit:
-            yield batch.slice(start, i - start), blobs[start:i]
-            start, total = i, 0
-        total += size
-    if start < batch.num_rows:
-        yield batch.slice(start), blobs[start:]
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    start = 0
+    while start < batch.num_rows:
+        # a slice takes rows up to the limit, one at least; only its own texts are copied
+        upto = np.cumsum(sizes[start : start + 10_000])
+        end = start + max(int(np.searchsorted(upto, limit, side="right")), 1)
+        yield batch.slice(start, end - start), [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column.slice(start, end - start)]
+        start = end
 
 
 def share(df: DataFrame, value) -> object:

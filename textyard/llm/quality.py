@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textyard.llm import shingles as sh
 from textyard.llm.common import crc32_of, few, stored, text_slices
@@ -40,9 +40,12 @@ STATS = tuple(
 
 
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and the statistics of the whole text; those of an empty or null text are 0."""
-    source = docs.select(*keep, F.col(text).cast("string").alias("_measured"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *(f"{s} double" for s in STATS)])
+    """``keep`` columns and the statistics of the whole text; those of an empty or null text are 0.
+
+    A text that is kept goes to Python once."""
+    kept_text = text in keep and docs.schema[text].dataType == T.StringType()
+    source = docs.select(*keep) if kept_text else docs.select(*keep, F.col(text).cast("string").alias("_measured"))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]), *(f"{s} double" for s in STATS)])
     lut = np.zeros(256, dtype=np.int64)
     for i, members in enumerate(CLASSES.values()):
         lut[list(members)] = i + 1
@@ -52,7 +55,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
     def measure(batches):
         for batch in batches:
-            for part, blobs in text_slices(batch, width):
+            for part, blobs in text_slices(batch, keep.index(text) if kept_text else width):
                 values = text_statistics(blobs, lut, marks)
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(v) for v in values)], names=[*keep, *STATS])
 
@@ -226,6 +229,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     marks = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id").distinct()
     taught = docs.select("doc_id", "text").where("doc_id is not null").join(few(marks), "doc_id", "left_semi")
     model = fit(stored(statistics(taught, ["doc_id"])), labels)
-    rows = statistics(docs.withColumn("_text", F.col("text")).drop("text"), [c if c != "text" else "_text" for c in docs.columns], "_text")
-    kept = rows.where(model.score() >= threshold)
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    # names of the statistics must not meet those of the caller
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    rows = statistics(plain, plain.columns, f"c{docs.columns.index('text')}")
+    return rows.where(model.score() >= threshold).select(*plain.columns).toDF(*docs.columns)

@@ -179,6 +179,32 @@ def test_pairs_and_information_equal_brute_force(spark, monkeypatch):
         assert have.keys() == {p for p, v in want.items() if v > 0} and all(math.isclose(v, want[p]) for p, v in have.items())
 
 
+@pytest.mark.parametrize("budget", [1 << 20, 0])
+def test_numbered_pairs_equal_brute_force(spark, monkeypatch, budget):
+    monkeypatch.setattr(cooccur, "RUN", 7)  # pairs across the cuts stay
+    monkeypatch.setattr(cooccur, "BROADCAST_BUDGET", budget)  # without room the words stand for themselves
+    rng = np.random.default_rng(6)
+    texts = [[f"w{int(k)}" for k in rng.geometric(0.2, n)] for n in (0, 1, 2, 5, 7, 8, 40, 100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (3, [])], "doc_id long, tokens array<string>")
+    tf = Counter(w for t in texts for w in t)
+    words = spark.createDataFrame([(w,) for w in tf if tf[w] > 1], "word string")
+    want = {p: n for p, n in brute_pairs(texts, 3).items() if tf[p[0]] > 1 and tf[p[1]] > 1}
+    for size in (10, 10**12):
+        pairs, ids = cooccur.vocabulary_pairs(docs, words, words.count(), size, 3)
+        assert dict(pairs.dtypes)["a"] == ("bigint" if budget else "string")
+        got = cooccur.named(pairs, ids, size)
+        assert got.columns == ["a", "b", "n"]
+        assert {(r.a, r.b): r.n for r in got.collect()} == want
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    hashed = cooccur._hashed
+    monkeypatch.setattr(cooccur, "_hashed", lambda w, seed: hashed(w, seed) if seed else hashed(w, seed) % 2)
+    words = spark.createDataFrame([(w,) for w in "abcde"], "word string")
+    rows, hashes, seed = cooccur.numbered(words, 5)
+    assert seed == 1 and len(hashes) == 5 and sorted(r.id for r in rows.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_projected_vectors_equal_brute_force(spark):
     import hashlib
 
@@ -254,6 +280,26 @@ def test_heavy_hitters_are_exact(spark, shape, least_width):
         assert terms.top_terms(frequent.frequent_terms(rows, "terms", 25, 1, 400, 10_000), 25).count() == 25
 
 
+def test_a_task_adds_up_a_bounded_number_of_terms(monkeypatch):
+    """However many terms its batches hold."""
+    import pyarrow as pa
+
+    sizes, add = [], frequent.add
+    monkeypatch.setattr(frequent, "add", lambda terms, counts, k: sizes.append(sum(map(len, terms))) or add(terms, counts, k))
+    monkeypatch.setattr(frequent, "SLICE", 100)
+    monkeypatch.setattr(frequent, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda _: 9})())}))
+    texts = pa.array([[f"t{i}" for i in range(at, at + 500)] + [None] for at in range(0, 2_000, 500)])
+    (found,) = frequent._summarise(50)(iter([pa.RecordBatch.from_arrays([texts], ["terms"])]))
+    assert max(sizes) <= 150 and found.num_rows <= 50
+    sizes.clear()
+    same = np.ones(60, dtype=np.int64)
+    parts = [frequent._rows(p, pa.array([f"p{p}t{i}" for i in range(60)]), same * (p + 1), p) for p in range(8)]
+    (merged,) = frequent._merge(50)(iter(parts))
+    assert max(sizes) <= 50 + 160 and merged.num_rows <= 50
+    n, error = merged.column("n").to_numpy(), merged.column("error")[0].as_py()
+    assert error >= sum(range(8)) and (n + error >= 1).all()
+
+
 def test_summaries_bound_their_error(spark):
     rng = np.random.default_rng(3)
     draws = rng.zipf(1.2, 40_000) % 3_000

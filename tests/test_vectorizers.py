@@ -251,6 +251,25 @@ def test_empty_vocabulary_gives_zero_vectors(spark):
         assert row.vector == [0.0] * 4
 
 
+def test_pooling_looks_up_a_bounded_number_of_tokens(monkeypatch):
+    """However many tokens a batch holds; what the table lacks comes out with the sums."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes, index_in = [], pc.index_in
+    monkeypatch.setattr(pooling.pc, "index_in", lambda flat, **k: sizes.append(len(flat)) or index_in(flat, **k))
+    monkeypatch.setattr(pooling, "LOOKED_UP", 5, raising=False)
+    texts = [["a", "b"], None, [], ["x", "a", "y", None, "a", "z"], ["b"], ["b", "b", "x"], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.list_(pa.string()))], ["_row", "tokens"])
+    known = pooling._Table(pa.array(["a", "b"]), np.array([[1.0, 2.0], [10.0, 20.0]]), np.array([1.0, 2.0]))
+    work = pooling._pool_batches(type("B", (), {"value": known}), 2, ["_row"], np.float64, True)
+    got = [r for b in work(iter([batch])) for r in b.to_pylist()]
+    assert max(sizes) <= 6
+    assert [r["_others"] for r in got] == [[], [], [], ["x", "y", "z"], [], ["x"], []]
+    assert [r["vector"] for r in got] == [[11, 22], [0, 0], [0, 0], [2, 4], [10, 20], [20, 40], [1, 2]]
+    assert [r["_times"] for r in got] == [3, 0, 0, 2, 2, 4, 1]
+
+
 def brute_top(docs, k, min_df):
     tf, df = Counter(), Counter()
     for t in docs:

@@ -3,18 +3,16 @@
 Targets follow the weights, no source above ``REPEATS`` times its words. The mix is counted in blocks of
 ``BLOCK`` words, that of small sources word by word: blocks go to sources, and a source's blocks to its shards, by highest quotients, which gives
 whole quotas that sum up exactly. A shard lays its documents end to end in a seeded order; its quota is made
-of whole passes over the shard and of a seeded choice of its blocks. Words of the chosen blocks are taken.
-Everything is a window or a join over small rows; texts do not move.
+of whole passes over the shard and of a seeded choice of its blocks: those of the lowest tickets, so the last chosen
+ticket of each shard tells every document which of its blocks are chosen. Words of the chosen blocks are taken.
+Everything is a window or a join over small rows; texts move once, where the mix itself is cut.
 """
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-
-from textyard.llm.common import stored
+from textyard.llm.common import few, stored
 
 BLOCK = 64
 # Sources of a smaller target, in blocks, are counted in single words.
@@ -25,6 +23,7 @@ SEED = 17
 # One row per source is broadcast up to this number; beyond it the rows are joined by a shuffle.
 FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: str = "text"):
@@ -117,15 +116,17 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SE
     n = F.expr("(words + unit - 1) div unit")
     shards = shards.withColumn("blocks", n).withColumn("seats", F.least("seats", REPEATS * F.col("blocks")))
     shards = stored(shards.where("blocks > 0").select("rank", "shard", "blocks", F.expr("seats div blocks").alias("passes"), F.expr("seats % blocks").alias("extra")))
-    drawn = shards.where("extra > 0").select("rank", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    ticket = F.md5(F.concat_ws(":", F.lit(str(seed)), "rank", "shard", "block"))
-    drawn = drawn.withColumn("r", F.row_number().over(line.orderBy(ticket, "block"))).where("r <= extra").select("rank", "shard", "block", F.lit(True).alias("drawn"))
-    pieces = placed.withColumn("block", F.explode(F.expr("sequence(start_at div unit, (stop_at - 1) div unit)")))
-    met = pieces.join(drawn, ["rank", "shard", "block"], "left")
-    span = F.struct((F.greatest(F.col("block") * F.col("unit"), "start_at") - F.col("start_at")).alias("from"), (F.least((F.col("block") + 1) * F.col("unit"), F.col("stop_at")) - F.col("start_at")).alias("to"))
-    spans = F.array_sort(F.collect_list(F.when(F.col("drawn"), span)))
-    by_doc = met.groupBy("rank", "shard", "start_at", "doc_id", "source", "size", "source_size", "target").agg(spans.alias("ranges"))
-    by_doc = by_doc.join(shards.select("rank", "shard", "passes"), ["rank", "shard"], "left")
+    ticket = lambda block: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rank"), F.col("shard"), block))
+    # dealt out before they are listed: a task lists and ranks the blocks of its own shards, and no block is shuffled
+    spark = docs.sparkSession
+    drawn = shards.where("extra > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
+    drawn = drawn.select("rank", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")).withColumn("ticket", ticket(F.col("block")))
+    last = drawn.withColumn("r", F.row_number().over(line.orderBy("ticket", "block"))).where("r = extra").select("rank", "shard", F.struct("ticket", "block").alias("last"))
+    chosen = few(stored(shards.select("rank", "shard", "passes").join(last, ["rank", "shard"], "left")))
+    met = placed.join(chosen, ["rank", "shard"], "left")
+    blocks = F.filter(F.expr("sequence(start_at div unit, (stop_at - 1) div unit)"), lambda b: F.struct(ticket(b).alias("ticket"), b.alias("block")) <= F.col("last"))
+    span = lambda b: F.struct((F.greatest(b * F.col("unit"), F.col("start_at")) - F.col("start_at")).alias("from"), (F.least((b + 1) * F.col("unit"), F.col("stop_at")) - F.col("start_at")).alias("to"))
+    by_doc = met.withColumn("ranges", F.transform(blocks, span))
     picked = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["to"] - x["from"])
     out = by_doc.withColumn("taken", F.coalesce(F.col("passes"), F.lit(0)) * F.col("size") + picked)
     empty = known.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("passes"), F.lit(None).cast(by_doc.schema["ranges"].dataType).alias("ranges"))
@@ -137,49 +138,40 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     of its ranges, if any. White space inside a range stays as it is; n_chars is counted anew. Documents
     without words stay once, as they take nothing from the mix."""
     names = docs.columns
-    numbered = Window.partitionBy("doc_id").orderBy("source", "size")
-    chosen = plan(docs, **settings).withColumn("no", F.row_number().over(numbered)).select(F.col("doc_id").alias("id"), F.col("no").alias("n"), "passes", "ranges")
+    turns = plan(docs, **settings).select("doc_id", "source", "size", "passes", "ranges")
+    kind = turns.schema["ranges"].dataType
     # the caller's columns may have any names: they stay in a struct until the end
     mine = docs.select(F.struct(*names).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    mine = mine.withColumn("no", F.row_number().over(numbered))
-    joined = mine.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("no") == F.col("n")))
-    whole = F.when(F.col("size") == 0, F.array(F.lit(None).cast(chosen.schema["ranges"].dataType))).otherwise(F.array_repeat(F.lit(None).cast(chosen.schema["ranges"].dataType), F.col("passes").cast("int")))
-    part = F.when(F.size("ranges") > 0, F.array("ranges")).otherwise(F.array().cast(whole_type(chosen)))
-    rows = joined.withColumn("part", F.explode(F.concat(whole, part)))
-    plain = [f"c{i}" for i in range(len(names))]
-    flat = rows.select(*(F.col("row").getField(n).alias(c) for n, c in zip(names, plain)), F.transform("part", lambda x: x["from"]).alias("since"), F.transform("part", lambda x: x["to"]).alias("until"))
-    schema = flat.schema
-    text = names.index("text")
-
-    def cut(batches):
-        for batch in batches:
-            starts, stops = (batch.column(len(names) + i) for i in (0, 1))
-            texts = batch.column(text).to_pylist()
-            for i, valid in enumerate(starts.is_valid()):
-                if valid.as_py():
-                    texts[i] = word_ranges(texts[i], starts[i].as_py(), stops[i].as_py())
-            columns = [pa.array(texts, batch.schema.field(text).type) if j == text else batch.column(j) for j in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    out = flat.mapInArrow(cut, schema)
-    if "n_chars" in names:
-        count = plain[names.index("n_chars")]
-        out = out.withColumn(count, F.when(F.col("since").isNull(), F.col(count)).otherwise(F.length(plain[text]).cast(schema[count].dataType)))
-    return out.select(*plain).toDF(*names)
-
-
-def whole_type(chosen: DataFrame) -> str:
-    return f"array<{chosen.schema['ranges'].dataType.simpleString()}>"
-
-
-def word_ranges(text: str, starts: list[int], stops: list[int]) -> str:
+    every = mine.withColumns({"own": F.lit(1), "passes": F.lit(None).cast("bigint"), "ranges": F.lit(None).cast(kind)})
+    every = every.unionByName(turns.withColumns({"row": F.lit(None).cast(mine.schema["row"].dataType), "own": F.lit(0)}))
+    # a text comes right after the turn of its number; both windows keep to the doc_id, so texts are shuffled once
+    alike = ["doc_id", "source", "size"]
+    every = every.repartition("doc_id").withColumn("no", F.row_number().over(Window.partitionBy(*alike, "own").orderBy("own")))
+    before = Window.partitionBy(*alike, "no").orderBy("own")
+    every = every.withColumns({c: F.lag(c).over(before) for c in ("passes", "ranges")})
+    joined = every.where("own = 1")
+    whole = F.when(F.col("size") == 0, F.array(F.lit(None).cast(kind))).otherwise(F.array_repeat(F.lit(None).cast(kind), F.col("passes").cast("int")))
+    part = F.when(F.size("ranges") > 0, F.array("ranges")).otherwise(F.array().cast(f"array<{kind.simpleString()}>"))
+    rows = joined.select("row", F.explode(F.concat(whole, part)).alias("part"))
+    text = F.when(F.col("part").isNull(), F.col("row.text")).otherwise(word_ranges(F.col("row.text"), F.col("part")))
+    rows = rows.withColumn("cut", text)
+    columns = {n: F.col("row").getField(n) for n in names} | {"text": F.col("cut")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("part").isNull(), columns["n_chars"]).otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(columns[n].alias(n) for n in names))
+
+
+def word_ranges(text: Column, ranges: Column) -> Column:
     """The words at the positions of ascending ranges, adjoining ranges as one; others are joined by a line break."""
-    spans = [m.span() for m in re.finditer(WORD, text)]
-    parts, at = [], None
-    for a, b in zip(starts, stops):
-        if at == a:
-            parts[-1][1] = spans[b - 1][1]
-        else:
-            parts.append([spans[a][0], spans[b - 1][1]])
-        at = b
-    return "\n".join(text[a:b] for a, b in parts)
+
+    def cut(words):
+        def piece(r, i):
+            own = F.array_join(F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), "")
+            after = F.get(ranges, i + 1)["from"]
+            return F.when(after == r["to"], own).otherwise(F.concat(F.rtrim(own, F.lit(SPACES)), F.when(after.isNull(), "").otherwise("\n")))
+
+        return F.array_join(F.transform(ranges, piece), "")
+
+    # each word with the space after it; bound once, as a lambda's body may be computed for every range
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    return F.get(F.transform(F.array(words), cut), F.lit(0))

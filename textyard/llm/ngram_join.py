@@ -5,7 +5,7 @@ meet in the prefix index. Links are found in two rounds. First each node is comp
 group and each group's leader with one leader for every prefix token they share: at most as many pairs as
 index rows, and enough to join nearly all copies. What these links connect need not be compared again, so the second
 round takes the group pairs of a token in which not all sides are connected yet, filters them by length and
-position, expands them to their members and verifies those. Every link between documents that are not
+position, expands them to their members and verifies those. Before sets are sent, sketches drop the pairs that cannot be alike. Every link between documents that are not
 connected otherwise is verified, so the components are exact; a family of thousands of copies costs one
 comparison each.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textyard.llm.common import few, stored
 from textyard.llm.components import components
-from textyard.llm.setjoin import Likeness, Units, profiles, rarity, shared_tokens, verified
+from textyard.llm.setjoin import Likeness, Units, plausible, profiles, rarity, shared_tokens, verified
 
 
 def similar_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -32,14 +32,15 @@ def similar_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame
     units = Units(like, lines=False)
     rows = stored(profiles(texts, units, rarity(texts, units)))
     named = rows.where("sid is not null and doc_id is not null")
-    sets = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("pid").alias("pid"), F.min("n").alias("n")))
+    sets = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("pid").alias("pid"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
+    sketched = sets.select("sid", "sketch")
     groups = stored(sets.groupBy("pid").agg(F.min("sid").alias("leader"), F.min("n").alias("n")))
     index = stored(shared_tokens(named, "pid"))
-    links = stored(verified(texts, units, stored(_leader_pairs(sets, groups, index, like)), sets))
+    links = stored(verified(texts, units, stored(plausible(_leader_pairs(sets, groups, index, like), sketched, like)), sets))
     first = components(links)
     placed = stored(sets.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "pid", "n", "doc_id", F.coalesce("root", "sid").alias("root")))
-    rest = stored(_open_pairs(placed, index, like))
-    more = verified(texts, units, rest.select("a", "b", "na", "nb"), sets)
+    rest = stored(plausible(_open_pairs(placed, index, like), sketched, like))
+    more = verified(texts, units, rest, sets)
     roots = placed.select("sid", "root")
     bridges = more.join(roots.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
     # rows that share a doc_id are one document: its sets are joined too

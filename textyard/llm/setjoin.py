@@ -5,7 +5,9 @@ sets are put into one global order, rarest shingle first, so that two sets as al
 of their first few shingles (the prefix). Rarity comes from counters over all shingles of the corpus, held
 in a table of fixed size: shingles that fall into one counter only share a rank, and ties go by hash, so the
 order is always total and the join exact. Sets are named by a 64-bit id. Full sets are computed again from
-the texts of the few documents that need verifying, instead of being kept for all.
+the texts of the few documents that need verifying, instead of being kept for all. Whole documents have a sketch besides, the
+number of their shingles by the leading bits of the hash: two sets can have no more in common than the smaller numbers add up
+to, so pairs that only met by chance go before any set is sent.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ COUNTER_RUN = 1 << 12
 SEEN_LIMIT = 1 << 18
 # A prefix token with at most this many occurrences is grouped in one task; the counters only overstate.
 GROUPED_LIMIT = 100_000
+# Shingles a place of a sketch counts on average, half of it at least; the fewest places; the most that one place can hold.
+SKETCH_SHARE = 8
+SKETCH_LEAST = 16
+SKETCH_MOST = 127
 
 
 @dataclass(frozen=True)
@@ -106,10 +112,39 @@ def rarity(docs: DataFrame, units: Units, slots: int = RARITY_SLOTS) -> np.ndarr
     return out
 
 
+def sketches(tokens: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Per set, how many of its tokens have each value of the leading bits; null where a number passes ``SKETCH_MOST``.
+
+    ``tokens`` holds sets of sizes ``n`` one after the other. The places are a power of two, in proportion to the size.
+    """
+    bits = np.log2(np.maximum(n // SKETCH_SHARE, SKETCH_LEAST // 2)).astype(np.uint64) + np.uint64(1)
+    width = np.int64(1) << bits.astype(np.int64)
+    first = np.cumsum(width) - width
+    place = np.repeat(first, n) + (tokens >> np.repeat(np.uint64(64) - bits, n)).astype(np.int64)
+    counts = np.bincount(place, minlength=int(width.sum()))
+    over = np.maximum.reduceat(counts, first) > SKETCH_MOST if len(n) else np.zeros(0, dtype=bool)
+    offsets = pa.array(np.append(first, width.sum()).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.minimum(counts, SKETCH_MOST).astype(np.int8)), mask=pa.array(over))
+
+
+def plausible(pairs: DataFrame, sketched: DataFrame, like: Likeness) -> DataFrame:
+    """The ``pairs`` (a, b, na, nb) of set ids whose sketches, in ``(sid, sketch)``, do not rule out that they are alike.
+
+    Where one sketch is twice as long, its neighbours are added up. A pair without comparable sketches stays.
+    """
+    left = sketched.select(F.col("sid").alias("a"), F.col("sketch").alias("sa"))
+    right = sketched.select(F.col("sid").alias("b"), F.col("sketch").alias("sb"))
+    halved = lambda s: f"transform(sequence(1, size({s}), 2), i -> {s}[i - 1] + int({s}[i]))"
+    least = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> int(least(x, y))), 0L, (s, x) -> s + x)"
+    common = f"case when size(sa) = size(sb) then {least('sa', 'sb')} when size(sa) = 2 * size(sb) then {least(halved('sa'), 'sb')} when size(sb) = 2 * size(sa) then {least('sa', halved('sb'))} end"
+    met = pairs.join(left, "a").join(right, "b").withColumn("common", F.expr(common))
+    return met.where(F.col("common").isNull() | F.expr(like.similar("common", "na", "nb"))).select("a", "b", "na", "nb")
+
+
 def profiles(docs: DataFrame, units: Units, counts: np.ndarray) -> DataFrame:
     """One row per unit: doc_id, number, n (set size), sid (set id), pid (id of size and prefix), cold (prefix
-    tokens with few occurrences; they come first) and the prefix, null where this task has sent the same before.
-    A unit without shingles has n = 0 and null ids."""
+    tokens with few occurrences; they come first) and the prefix, empty where this task has sent the same before;
+    for whole documents the sketch too. A unit without shingles has n = 0 and null ids."""
     counts = share(docs, counts)
     limit = max(GROUPED_LIMIT, int(4 * counts.value.mean()))
     like = units.like
@@ -142,16 +177,19 @@ def profiles(docs: DataFrame, units: Units, counts: np.ndarray) -> DataFrame:
                 full["size"][unit] = np.where(send, length, 0)
                 none, absent = full["n"] == 0, ~valid[row]
                 sent = prefix[np.repeat(send, length)] if len(n) else prefix
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[row], pa.int64(), mask=absent), pa.array(number, pa.int32()), pa.array(full["n"]),
-                        pa.array(full["sid"], mask=none), pa.array(full["pid"], mask=none),
-                        pa.array(full["cold"], pa.int32()), list_array(sent.view(np.int64), full["size"], pa.int64()),
-                    ],
-                    ["doc_id", "number", "n", "sid", "pid", "cold", "prefix"],
-                )
+                columns = {
+                    "doc_id": pa.array(ids[row], pa.int64(), mask=absent), "number": pa.array(number, pa.int32()), "n": pa.array(full["n"]),
+                    "sid": pa.array(full["sid"], mask=none), "pid": pa.array(full["pid"], mask=none),
+                    "cold": pa.array(full["cold"], pa.int32()), "prefix": list_array(sent.view(np.int64), full["size"], pa.int64()),
+                }
+                if not units.lines:
+                    place = np.full(count, -1)
+                    place[unit] = np.arange(len(unit))
+                    columns["sketch"] = sketches(tokens, n).take(pa.array(place, mask=none))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(describe, "doc_id bigint, number int, n bigint, sid bigint, pid bigint, cold int, prefix array<bigint>")
+    schema = "doc_id bigint, number int, n bigint, sid bigint, pid bigint, cold int, prefix array<bigint>"
+    return docs.mapInArrow(describe, schema if units.lines else f"{schema}, sketch array<tinyint>")
 
 
 def shared_tokens(prefixes: DataFrame, by: str) -> DataFrame:
@@ -165,7 +203,8 @@ def shared_tokens(prefixes: DataFrame, by: str) -> DataFrame:
     group = Window.partitionBy("token")
     few = rows.where("pos < cold").select(*keep)
     few = few.select(*keep, F.min(by).over(group).alias("lo"), F.max(by).over(group).alias("hi")).where("lo <> hi").select(*keep)
-    return few.union(rows.where("pos >= cold").select(*keep)).distinct()
+    # equal rows are on the same side of the cut; the grouped ones are in one task by now and need no other shuffle
+    return few.distinct().union(rows.where("pos >= cold").select(*keep).distinct())
 
 
 def verified(docs: DataFrame, units: Units, pairs: DataFrame, homes: DataFrame) -> DataFrame:

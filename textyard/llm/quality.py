@@ -22,6 +22,8 @@ TREES = 60
 DEPTH = 3
 BINS = 32
 PENALTY = 2e-3
+# Rows of the rule table that one product turns into doubles on the driver.
+STEP_ROWS = 1 << 10
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -175,14 +177,21 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) ->
     for r, path in enumerate(paths):
         for name, upper, value in path:
             fires[:, r] *= x[:, column[name]] <= value if upper else x[:, column[name]] > value
-    scale = np.maximum(fires.std(axis=0), 0.05)
-    z = (fires - fires.mean(axis=0)) / scale
+    middle, scale = fires.mean(axis=0), np.maximum(fires.std(axis=0), 0.05)
+    # in place, and multiplied some rows at a time: a product in doubles would copy all of it in every step
+    z = fires
+    z -= middle
+    z /= scale
+    parts = [slice(i, i + STEP_ROWS) for i in range(0, len(y), STEP_ROWS)]
     w, b, look, t = np.zeros(len(paths)), base, np.zeros(len(paths)), 1.0
-    rate = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    gram = sum(a.T @ a for a in (z[i].astype(float) for i in parts))
+    # the largest singular value, rounded as the table is: its own decomposition would copy the table as doubles, twice
+    largest = np.float32(np.sqrt(np.linalg.eigvalsh(gram).max(initial=0)))
+    rate = 4.0 / (largest**2 / len(y) + 1)
     previous_b, look_b = b, b
     for _ in range(400):
-        p = 1 / (1 + np.exp(-(z @ look + look_b)))
-        step = look - rate * (z.T @ (p - y)) / len(y)
+        p = 1 / (1 + np.exp(-(np.concatenate([z[i] @ look for i in parts]) + look_b)))
+        step = look - rate * sum(z[i].T @ (p - y)[i] for i in parts) / len(y)
         new = np.sign(step) * np.maximum(np.abs(step) - rate * PENALTY, 0)
         new_b = look_b - rate * (p - y).mean()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -191,7 +200,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) ->
         w, previous_b, t = new, new_b, t_next
     raw = w / scale
     kept = np.flatnonzero(np.abs(w) > 1e-6)
-    return RuleModel(tuple(Rule(paths[i], float(raw[i])) for i in kept), float(previous_b - raw @ fires.mean(axis=0)))
+    return RuleModel(tuple(Rule(paths[i], float(raw[i])) for i in kept), float(previous_b - raw @ middle))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

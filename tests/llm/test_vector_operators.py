@@ -39,6 +39,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert hnsw.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_only_zero_vectors_are_no_division_by_zero(spark):
+    rows = [(1, [0.0, 0.0], 1, "x"), (2, [0.0, 0.0], 1, "x"), (3, [3.0, 4.0], 1, "x"), (4, [6.0, 8.0], 1, "x"), (5, [0.0, -0.0], None, "x")]
+    got = hnsw.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
 def test_a_shard_half_of_near_copies(spark):
     """Dense groups are compared block by block: all links, little memory, no walk through every pair."""
     import time

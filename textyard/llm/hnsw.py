@@ -230,9 +230,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int
     """
     named = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("x"), F.col("label").alias("label"))
     rows = sound(named.where("vec_id is not null and label is not null"), "x")
-    # scaled by the largest component, so that no square overflows or vanishes
+    # scaled by the largest component, so that no square overflows or vanishes; a join may scale zero vectors before they are dropped
     top = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    rows = rows.withColumn("_t", top).where("_t > 0").withColumn("x", F.transform("x", lambda v: v / F.col("_t"))).drop("_t")
+    rows = rows.withColumn("_t", top).where("_t > 0").withColumn("x", F.transform("x", lambda v: F.try_divide(v, F.col("_t")))).drop("_t")
     rows = rows.withColumn("label", F.to_json(F.struct(F.size("x").alias("d"), "label")))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     groups = stored(rows.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))

@@ -3,11 +3,12 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import WORD, word_set
 
-from textyard.llm import mixing, ngram_join, quality, setjoin, shingles as sh
+from textyard.llm import common, mixing, ngram_join, packing, quality, setjoin, shingles as sh
 from textyard.llm.setjoin import Likeness
 
 
@@ -140,3 +141,40 @@ def test_rules_are_fitted_without_copies_of_the_rule_table(monkeypatch):
     assert model == few and [r.bounds for r in model.rules] == [r.bounds for r in whole.rules]
     assert np.allclose([r.weight for r in model.rules], [r.weight for r in whole.rules], rtol=1e-9) and len(model.rules) > 3
     assert quality.fit_rules(x[:6], np.array([0, 1, 0, 1, 1, 0.0]), list("abcd")).rules == ()
+
+
+def test_texts_are_encoded_in_little_memory():
+    rng = random.Random(5)
+    known = [f"w{i}" for i in range(2_000)]
+    blobs = [" ".join(rng.choices(known, k=500)).encode() for _ in range(3_500)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([b.decode() for b in blobs])})
+    words, total = packing.Words(), 0
+    words.encode([" ".join(known).encode()])
+    tracemalloc.start()
+    for _, some in common.text_slices(batch, 0, packing.SLICE):
+        total += int(words.encode(some)[1].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    text = sum(map(len, blobs))
+    assert total >= 1_750_000 and text > 1 << 23 and peak < 6 * text, peak / text
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id as doc_id", "repeat('two words ', 200) as text")
+    units = setjoin.Units(Likeness(), lines=True)
+    try:
+        for step in (lambda d: packing.pieces(d), lambda d: quality.statistics(d, ["doc_id"]), lambda d: setjoin.profiles(d, units, np.zeros(64, dtype=np.int64)), lambda d: setjoin.verified(d, units, spark.createDataFrame([], "a bigint, b bigint, na bigint, nb bigint"), spark.createDataFrame([], "sid bigint, doc_id bigint"))):
+            spark.conf.unset(common.BATCH_SETTING)
+            step(docs)
+            got = [r["size"] for r in docs.mapInArrow(sizes, "size bigint").collect()]
+            assert sum(got) > 24_000_000 and max(got) < 1.1 * common.BATCH_BYTES
+        # a setting of the session's own stays
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        packing.pieces(docs)
+        assert spark.conf.get(common.BATCH_SETTING) in ("1m", "1048576b")
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textyard.llm import words as wd
-from textyard.llm.common import stored, text_slices
+from textyard.llm.common import in_arrow, stored, text_slices
 
 LENGTH = 2048
 UNIT = 8
@@ -26,8 +26,8 @@ END_ID = 1
 # Distinct words that a worker remembers, and their ids in all.
 WORD_CACHE = 1_500_000
 ID_CACHE = 1 << 23
-# Text encoded at once: the more, the fewer distinct words are looked up for all of them.
-SLICE = 1 << 23
+# Text encoded at once: the more, the fewer distinct words are looked up for all of them, and the more arrays per word and id are held.
+SLICE = 1 << 20
 # Pieces ranked in one task.
 RANK_ROWS = 50_000
 
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
                 arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(c, pa.list_(pa.int64())) for c in rows[5:]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema_names(schema))
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), encode, schema)
 
 
 def schema_names(schema: str) -> list[str]:

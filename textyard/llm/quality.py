@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textyard.llm import shingles as sh
-from textyard.llm.common import crc32_of, few, stored, text_slices
+from textyard.llm.common import crc32_of, few, in_arrow, stored, text_slices
 
 FIT_ROWS = 20_000
 TREES = 60
@@ -61,7 +61,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
                 values = text_statistics(blobs, lut, marks)
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(v) for v in values)], names=[*keep, *STATS])
 
-    return source.mapInArrow(measure, fields)
+    return in_arrow(source, measure, fields)
 
 
 def text_statistics(blobs: list[bytes], lut: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textyard.llm import shingles as sh, words as wd
-from textyard.llm.common import id_bitmap, in_bitmap, integer_ids, list_array, share, text_slices
+from textyard.llm.common import id_bitmap, in_arrow, in_bitmap, integer_ids, list_array, share, text_slices
 
 # Counters of the rarity table (power of two): 8 MB when shared.
 RARITY_SLOTS = 1 << 20
@@ -105,7 +105,7 @@ def rarity(docs: DataFrame, units: Units, slots: int = RARITY_SLOTS) -> np.ndarr
         yield from blocks(sums)
 
     width, schema = min(COUNTER_RUN, slots), "block int, counts binary"
-    summed = docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    summed = in_arrow(docs, count, schema).repartition("block").mapInArrow(add, schema).toArrow()
     out = np.zeros(slots, dtype=np.int64)
     for i, blob in zip(summed["block"].to_pylist(), summed["counts"].to_pylist()):
         out[i * width : (i + 1) * width] = np.frombuffer(blob, dtype="<i8")
@@ -189,7 +189,7 @@ def profiles(docs: DataFrame, units: Units, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, number int, n bigint, sid bigint, pid bigint, cold int, prefix array<bigint>"
-    return docs.mapInArrow(describe, schema if units.lines else f"{schema}, sketch array<tinyint>")
+    return in_arrow(docs, describe, schema if units.lines else f"{schema}, sketch array<tinyint>")
 
 
 def shared_tokens(prefixes: DataFrame, by: str) -> DataFrame:
@@ -236,7 +236,7 @@ def verified(docs: DataFrame, units: Units, pairs: DataFrame, homes: DataFrame)
                     chosen = tokens[np.repeat(take, n)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(sid[take]), list_array(chosen, n[take], pa.int64())], ["sid", "members"])
 
-    sets = docs.mapInArrow(members, "sid bigint, members array<bigint>")
+    sets = in_arrow(docs, members, "sid bigint, members array<bigint>")
     left = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
     common = "size(array_intersect(ma, mb))"

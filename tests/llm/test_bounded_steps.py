@@ -178,3 +178,10 @@ def test_texts_reach_python_in_small_batches(spark):
         assert spark.conf.get(common.BATCH_SETTING) in ("1m", "1048576b")
     finally:
         spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_packing_starts_no_plain_python_workers(spark):
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2, 3], "text": ["one two", "three " * 3_000, None]}))
+    packed = packing.pack(docs)
+    assert "PythonRDD" not in packed._jdf.queryExecution().toRdd().toDebugString() and "ExistingRDD" not in physical(packed)
+    assert sorted((r.doc_id, r.start) for r in packed.collect()) == [(1, 0), (2, 0), (2, 2048), (3, 0)]

@@ -290,7 +290,9 @@ def pack(docs: DataFrame, length: int = LENGTH, unit: int = UNIT, path: str | No
             slots.append((int(i + 1), int(taken[i]), int(taken[i] + times * items[i]), int(items[i]), sequence))
             taken[i] += times * items[i]
         sequence += times
-    layout = spark.createDataFrame(slots, "size_class int, lo bigint, hi bigint, copies bigint, first bigint")
+    # as Arrow, as rows would start plain Python workers beside those that encode
+    fields = [pa.field("size_class", pa.int32()), *(pa.field(c, pa.int64()) for c in ("lo", "hi", "copies", "first"))]
+    layout = spark.createDataFrame(pa.table([pa.array([s[i] for s in slots], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields)))
     parts = max(1, int(demand.sum()) // RANK_ROWS)
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     before = Window.partitionBy("size_class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -168,6 +168,20 @@ def test_failed_dataset_is_skipped(spark, sf):
         benchmark.build_vectorizers(["glove"])
 
 
+def test_failed_dataset_is_no_result(spark, monkeypatch):
+    from textyard.plans import queries
+
+    # of the review labels none is there, so that its vocabulary has no term
+    rows = [(i, f"some {'idiot' if i % 2 else 'kind'} words", i % 2) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    monkeypatch.setattr(queries, "labelled", lambda *_, label: corpus.where(F.lit(label == "toxic")))
+    with pytest.raises(RuntimeError, match="1 of 2 datasets failed: review: no term left"):
+        queries.benchmark_datasets(spark, "")
+    monkeypatch.setattr(queries, "labelled", lambda *_, label: corpus)
+    board = queries.benchmark_datasets(spark, "").where("available").collect()
+    assert {(r.dataset, r.vectorizer) for r in board} == {(d, v) for d in ("toxic", "review") for v in ("bow", "tfidf")}
+
+
 def test_reports_of_a_real_run(spark, sf):
     results, report = benchmark.run_with_reports(labelled(spark, sf, "text"), "toxic", ["bow"])
     rows = {r.row: r for r in report.collect()}

@@ -224,6 +224,80 @@ def test_projected_vectors_equal_brute_force(spark):
         assert got[word] == want.tolist()
 
 
+def test_numbered_words_are_projected_without_wide_rows(spark, monkeypatch):
+    """The same sums as by words, packed in small runs; what is shuffled has no array of a word's dimensions or signs."""
+    rng = np.random.default_rng(1)
+    words = spark.createDataFrame([(f"w{i}", i) for i in range(60)], "word string, id long")
+    seen = {tuple(sorted(p)) for p in rng.integers(0, 50, (400, 2)).tolist()} | {(7, 7)}
+    pairs = spark.createDataFrame([(a, b, 1, float(rng.random() * 5)) for a, b in sorted(seen)], "a long, b long, n long, pmi double")
+    by_name = pairs.select(F.concat(F.lit("w"), "a").alias("a"), F.concat(F.lit("w"), "b").alias("b"), "n", "pmi")
+    want = {r.word: r.fixed for r in cooccur.project(by_name, words.select("word"), 100, 130, 7).collect()}
+    monkeypatch.setattr(cooccur, "SLICE", 50)
+    monkeypatch.setattr(cooccur, "SIGNED", 16, raising=False)
+    monkeypatch.setattr(cooccur, "MOST_WORDS", 7, raising=False)
+    monkeypatch.setattr(cooccur, "_joined_parts", lambda *_: pytest.fail("sums are shuffled"))
+    rows = cooccur.project(pairs, words, 100, 130, 7).collect()
+    assert len(rows) == 60 and {r.word: r.fixed for r in rows} == want
+
+
+def test_packed_counts_are_merged_in_bounded_steps(monkeypatch):
+    """Parts that go on in the next batch, keys in several rows of a part; no more is held than the keys and a slice."""
+    import pyarrow as pa
+
+    rng, want, batches = np.random.default_rng(2), Counter(), []
+    for parts in ([0, 0, 0, 1], [1, 1], [], [1, 4, 4]):
+        cells = []
+        for part in parts:
+            keys, n = np.unique(rng.integers(0, 30, 12) + 100 * part, return_counts=True)
+            want.update(dict(zip(keys.tolist(), n.tolist())))
+            cells.append((part, keys.astype(np.int64).tobytes(), n.astype(np.int64).tobytes()))
+        columns = list(zip(*cells)) or [[], [], []]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "n"]))
+    held, summed = [], cooccur._summed
+    monkeypatch.setattr(cooccur, "_summed", lambda keys, n: held.append(sum(map(len, keys))) or summed(keys, n))
+    monkeypatch.setattr(cooccur, "SLICE", 10)
+    got = [(k, c) for b in cooccur._merged(iter(batches)) for k, c in zip(*[x.to_pylist() for x in b.columns])]
+    assert dict(got) == want and len(got) == len(want) and max(held) <= 60
+
+
+@pytest.mark.parametrize("kind, budget", [("bigint", 10**9), ("bigint", 5 * 8 * 3), ("float", 5 * 4 * 2), ("double", 0)])
+def test_sums_by_columns_equal_brute_force(spark, monkeypatch, kind, budget):
+    """However few columns there is room for: repeated, unknown and null words, a word given twice, rows without any."""
+    lists = [["a", "b", "a"], [], ["zz", None, "c"], None, ["e"] * 5, ["d", "zz"]]
+    given = [(w, [i * 7 + j * (-1) ** i for j in range(7)]) for i, w in enumerate("abcde")] + [("c", [100] * 7)]
+    table = spark.createDataFrame(given, "word string, vector array<bigint>").select("word", F.col("vector").cast(f"array<{kind}>").alias("vector"))
+    hashes, seed = cooccur.hashes_apart(table.select("word").distinct(), 6)
+    rows = spark.createDataFrame(list(enumerate(lists)), "_row long, t array<string>")
+    rows = rows.select("_row", F.transform("t", lambda w: F.when(w.isNotNull(), cooccur.hash_of(w, seed))).alias("_hashes"))
+    monkeypatch.setattr(pooling, "SLICE", 2)
+    got = pooling.id_sums(pooling.with_ids(rows, ["_row"], hashes), table.select(cooccur.hash_of("word", seed).alias("_hash"), "vector"), hashes, 7, budget).collect()
+    for r in got:
+        hits = [v for w in lists[r._row] or [] for x, v in given if x == w]
+        assert r._times == len(hits) and r._sums == np.sum([np.zeros(7, int), *hits], axis=0).tolist()
+    assert len(got) == len(lists)
+
+
+def test_vectors_beyond_the_budget_are_not_joined(spark, monkeypatch):
+    """Pooling and bucket vectors send no vector by word or bucket."""
+    monkeypatch.setattr(pooling, "lookup_join", lambda *_, **__: pytest.fail("vectors are shuffled"))
+    monkeypatch.setattr(subword, "lookup_join", lambda *_, **__: pytest.fail("vectors are shuffled"))
+    table = spark.createDataFrame([(w, v) for _, w, v in VECTORS], "word string, vector array<float>")
+    docs = spark.createDataFrame([(1, ["cat", "dog"]), (1, ["bird"])], "doc_id long, tokens array<string>")
+    got = sorted(r.vector for r in pooling.mean_pool(docs, table, 2, 4, budget=0).collect())
+    assert np.allclose(got, [[0, 0], [5 / 3, 2]])
+    words = spark.createDataFrame([("cat", [4, 8]), ("cats", [2, 2])], "word string, fixed array<bigint>")
+    unit = cooccur.SCALE * 2**0.5
+    rows = subword.bucket_vectors(words, 2, 1, 2, 3, 3, "md5").collect()
+    # three n-grams of <cat> and four of <cats> in one bucket
+    assert [r.bucket for r in rows] == [0] and np.allclose(rows[0].vector, [20 / 7 / unit, 32 / 7 / unit])
+
+
+@pytest.mark.parametrize("budget", [pooling.table_bytes(1, 2), 0])
+def test_words_too_many_to_number_are_joined(spark, monkeypatch, budget):
+    monkeypatch.setattr(pooling, "hashes_apart", lambda *_: None)
+    test_mean_pool_gives_one_answer(spark, budget)
+
+
 def test_trained_vectors_find_planted_synonyms_and_repeat(spark):
     docs = planted(spark, 6000)
     vectorizer = wordvec.CoOccurrence(vector_size=64)
